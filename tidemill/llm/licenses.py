@@ -53,7 +53,7 @@ def _staged(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_h", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
     df = df.withColumn("_two", F.zip_with(cut("_h", 1, 1), cut("_h", 2, 1), pair))
     df = df.withColumn("_four", F.zip_with(cut("_two", 1, 2), cut("_two", 3, 2), pair))
-    df = df.withColumn("_s", F.zip_with("_four", cut("_h", 5, 4), pair))
+    df = df.withColumn("_s", F.zip_with(cut("_four", 1, 1), cut("_h", 5, 4), pair))
     # the condition is always true; the optimizer moves no filter below it, where the shingles would be made once more
     df = df.withColumn("_s", F.when(F.monotonically_increasing_id() >= 0, F.col("_s")))
     return df.drop("_h", "_two", "_four")
