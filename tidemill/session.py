@@ -39,3 +39,19 @@ def checkpointed(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, where they may not have it installed."""
+    import shutil
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        top = tempfile.mkdtemp()
+        shutil.copytree(here, f"{top}/src/tidemill", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{top}/tidemill", "zip", f"{top}/src"))
+        _shipped.add(app)
