@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, simhash, urls, warc
+from . import chat, decontaminate, licenses, simhash, toxicity, urls, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -90,3 +90,14 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
 @query()
 def op6_tool_call_linking(spark, sf):
     return chat.link(tool_messages(table(spark, sf, "conversations")), REPLY)
+
+
+@query()
+def op1_decontamination(spark, sf):
+    return decontaminate.judge(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op7_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score_documents(docs, toxicity.model_for(docs, table(spark, sf, "labels")))
