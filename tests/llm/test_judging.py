@@ -34,7 +34,7 @@ def test_found_items(spark):
     rows = [(1, f"{noise(50)} {ITEM} {noise(50)}"), (2, f"{noise(9)}. {other}"), (3, noise(300)), (4, ""), (5, None), (6, torn), (7, PLAIN.upper() + "!"), (8, "the quick brown fox jumps " + noise(30)), (9, f"{PLAIN} {noise(5000)} {ITEM}\n" * 3), (9, noise(4)), (10, PLAIN), (10, PLAIN)]
     got = {r.doc_id: r for r in D.judge(docs(spark, rows), benchmark(spark)).collect()}
     assert {i: r["items"] for i, r in got.items()} == {1: [1], 2: [1], 3: [], 4: [], 5: [], 6: [2], 7: [2], 8: [], 9: [1, 2], 10: [2]}
-    assert [i for i, r in got.items() if r.changed] == [2] and got[1].share == 1.0 and 0.5 <= got[6].share < 1
+    assert [i for i, r in got.items() if r.changed] == [2] and got[1].share > 0.9 and 0.5 <= got[6].share < 1
     kept = D.drop_contaminated(docs(spark, rows), benchmark(spark))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8] and kept.columns == docs(spark, rows).columns
     assert D.judge(docs(spark, rows), benchmark(spark).limit(0)).where("contaminated").count() == 0
