@@ -56,42 +56,84 @@ def classify(token: str, starts: bool) -> tuple[str, str]:
     return low, low
 
 
-_HASH: dict = {}
-
-
-def hashed(token: str, starts: bool) -> tuple[int, bool, str, str] | None:
-    """(hash, literal, template, surface), None for punctuation; a bounded memory of earlier tokens."""
-    got = _HASH.get((token, starts), 0)
-    if got == 0:
-        t, s = classify(token, starts)
-        got = (xxhash.xxh3_64_intdigest(t), t not in (NUM, UNIT, NAME), t, s) if t else None
-        if len(_HASH) > 150_000:
-            _HASH.clear()
-        _HASH[token, starts] = got
-    return got
-
-
-def template(text: str) -> list[tuple[int, bool, str, str]]:
-    out, get = [], _HASH.get
-    for line in text.split("\n"):
-        starts = True
-        for token in line.split():
-            t = get((token, starts), 0)
-            if t == 0:
-                t = hashed(token, starts)
-            if t is not None:
-                out.append(t)
-            starts = token[-1] in ".!?:"
+class Coder:
+    """Numbers for tokens, and by number what a window needs to know of them; CAPACITY bounds its memory.
+
+    Every array has two rows: of tokens inside a sentence, and of those that begin one.
+    """
+
+    CAPACITY = 400_000
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.hash = np.zeros((2, self.CAPACITY), np.uint64)
+        self.literal = np.zeros((2, self.CAPACITY), bool)
+        self.there, self.ends = np.zeros(self.CAPACITY, bool), np.zeros(self.CAPACITY, bool)
+        self._add("\0")  # a line's end
+
+    def _add(self, token: str) -> int:
+        code = self.codes[token] = len(self.codes)
+        self.ends[code] = token == "\0" or token[-1] in ".!?:"
+        if token.isalpha() and token.islower() and token not in NUMBERS and token not in UNITS:
+            kinds = [token] * 2
+        else:
+            kinds = [classify(token, starts)[0] if token != "\0" else "" for starts in (False, True)]
+        self.there[code] = bool(kinds[0])
+        for starts, t in enumerate(kinds):
+            self.hash[starts, code] = xxhash.xxh3_64_intdigest(t)
+            self.literal[starts, code] = t not in (NUM, UNIT, NAME)
+        return code
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the text's template tokens, and which of them are literals."""
+        tokens = text.replace("\0", " ").replace("\n", " \0 ").split()
+        codes = list(map(self.codes.get, tokens))
+        if None in codes:
+            if len(self.codes) + len(tokens) >= self.CAPACITY:
+                if len(tokens) >= self.CAPACITY:  # a very long text, by parts that end with a line or sentence or not at all
+                    return self._long(tokens)
+                self.__init__()
+            codes = [self.codes[t] if t in self.codes else self._add(t) for t in tokens]
+        return self._gather(np.array(codes, np.int64), True)[:2]
+
+    def _gather(self, codes: np.ndarray, starts: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+        if not len(codes):
+            return np.zeros(0, np.uint64), np.zeros(0, bool), starts
+        ends = self.ends[codes]
+        begin = np.concatenate([[starts], ends[:-1]]).astype(np.int64)
+        there = self.there[codes]
+        return self.hash[begin, codes][there], self.literal[begin, codes][there], bool(ends[-1])
+
+    def _long(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, literals, starts, step = [], [], True, self.CAPACITY // 2
+        for i in range(0, len(tokens), step):
+            self.__init__()
+            h, lit, starts = self._gather(np.array([self.codes[t] if t in self.codes else self._add(t) for t in tokens[i : i + step]], np.int64), starts)
+            hashes.append(h)
+            literals.append(lit)
+        return np.concatenate(hashes), np.concatenate(literals)
+
+
+def template(text: str) -> list[tuple[str, str]]:
+    """(template token, surface) of each token that isn't punctuation."""
+    out, starts = [], True
+    for token in text.replace("\0", " ").replace("\n", " \0 ").split():
+        if token == "\0":
+            starts = True
+            continue
+        t = classify(token, starts)
+        if t[0]:
+            out.append(t)
+        starts = token[-1] in ".!?:"
     return out
 
 
-def windows(tokens: list[tuple[int, bool, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+def windows(h: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of windows, and where they begin; those with too few literals are left out."""
-    n = len(tokens) - WINDOW + 1
+    n = len(h) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter((t[0] for t in tokens), np.uint64, len(tokens))
-    lit = np.cumsum([0] + [t[1] for t in tokens])
+    lit = np.concatenate([[0], np.cumsum(literal)])
     with np.errstate(over="ignore"):
         acc = np.zeros(n, np.uint64)
         for k in range(WINDOW):
@@ -139,19 +181,20 @@ _WINDOW_SCHEMA = "_id bigint, _x bigint, at int, h bigint, template array<string
 def _emit(bitmap: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
+        coder = Coder()
         for b in batches:
             rows = []
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py() or ""
-                tokens = template(text)
-                h, at = windows(tokens)
+                h, at = windows(*coder.read(text))
                 if bits is not None and len(h):
                     k = h & np.uint64(BITMAP_BITS - 1)
                     hit = (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1
                     h, at = h[hit == 1], at[hit == 1]
                 if len(h):
+                    tokens = template(text)
                     doc, x = b.column(0)[i].as_py(), xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    rows += [(doc, x, int(a), int(v), [t[2] for t in tokens[a : a + WINDOW]], [t[3] for t in tokens[a : a + WINDOW]], len(tokens)) for a, v in zip(at, h.view(np.int64), strict=True)]
+                    rows += [(doc, x, int(a), int(v), [t[0] for t in tokens[a : a + WINDOW]], [t[1] for t in tokens[a : a + WINDOW]], len(tokens)) for a, v in zip(at, h.view(np.int64), strict=True)]
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
