@@ -1,6 +1,10 @@
 import random
+import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from tidemill.llm import decontaminate as D
 from tidemill.llm import queries
 from tidemill.llm import toxicity as X
@@ -21,18 +25,40 @@ def benchmark(spark):
     return spark.createDataFrame([(1, ITEM, "x"), (2, PLAIN, "x"), (3, "too short", "x"), (None, PLAIN, "x"), (4, None, "x")], "item_id bigint, text string, doc_id string")
 
 
-def test_templates():
-    got = [t for t in D.template("Anna met Bob, who ran 5.5 km in twenty min.\nThen -- 3rd place!")]
-    assert got == [("anna", "anna"), ("met", "met"), (D.NAME, "bob"), ("who", "who"), ("ran", "ran"), (D.NUM, "5.5"), (D.UNIT, "km"), ("in", "in"), (D.NUM, "twenty"), (D.UNIT, "min"), ("then", "then"), (D.NUM, "3rd"), ("place", "place")]
+def read(text):
+    """A text's template tokens with their surfaces, by the operator."""
+    (g,) = D.textscan.groups(pa.array([text]))
+    h, lit, place = D.template(g)
+    names = {1: D.NUM, 2: D.UNIT, 3: D.NAME}
+    surface = D.surfaces(g, place)
+    assert [x > 3 for x in h.tolist()] == lit.tolist()
+    return [(names.get(x, s), s) for x, s in zip(h.tolist(), surface, strict=True)], h
 
 
-def test_coder_reads_as_templates_do():
-    text = "Anna met Bob. Anna\nMay 5 km -- go \0 on! No? " * 30 + "é " * 40
-    want = D.template(text)
-    for capacity in (400_000, 60):
-        c = type("Small", (D.Coder,), {"CAPACITY": capacity})()
-        h, lit = c.read(text)
-        assert h.tolist() == [D.xxhash.xxh3_64_intdigest(t) for t, _ in want] and lit.tolist() == [t[0] != "<" for t, _ in want]
+def test_templates():
+    got, _ = read("Anna met Bob, who ran 5.5 km in twenty min.\nThen -- 3rd place! ÉTÉ Été (Née) Zoë's")
+    assert got == [("anna", "anna"), ("met", "met"), (D.NAME, "bob"), ("who", "who"), ("ran", "ran"), (D.NUM, "55"), (D.UNIT, "km"), ("in", "in"), (D.NUM, "twenty"), (D.UNIT, "min"), ("then", "then"), (D.NUM, "3rd"), ("place", "place"), ("été", "été"), (D.NAME, "été"), (D.NAME, "née"), (D.NAME, "zoës")]
+
+
+def test_tokens_hash_alike_wherever_they_stand():
+    """In any group, beside any text, and in the parts of a text that is longer than a group."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab,é.C5") for _ in range(rng.randrange(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 30))) for _ in range(200)] + ["", None, "x" * 1_200_000 + " ab é", "ab é " * 300_000]
+    alone = {}
+    for g in D.textscan.groups(pa.array(texts)):
+        h, _, place = D.template(g) if len(g.starts) else ([], [], np.zeros(0, int))
+        plain = D.textscan.word_hashes(g)
+        at = np.searchsorted(place, g.at)
+        for i in range(g.first, g.last):
+            words = [w for w in (texts[i] or "").encode().lower().split()]
+            mine = plain[g.at[i - g.first] : g.at[i - g.first + 1]]
+            assert len(words) == len(mine)
+            for w, x in zip(words[:2000], mine[:2000].tolist(), strict=True):
+                assert alone.setdefault(w, x) == x
+            if i < 200 and texts[i]:
+                assert read(texts[i])[1].tolist() == h[at[i - g.first] : at[i - g.first + 1]].tolist()
+    assert len(set(alone.values())) == len(alone)
 
 
 def test_found_items(spark):
@@ -52,10 +78,11 @@ def test_found_items(spark):
 
 def test_slots_must_agree():
     item, good, bad = "Bob gave x to Bob and y to Cid", "Tom gave x to Tom and y to Ann", "Tom gave x to Ann and y to Tom"
-    t = {k: D.template("so " + v + " for the sake of it") for k, v in (("i", item), ("g", good), ("b", bad))}
+    t = {k: read("so " + v + " for the sake of it") for k, v in (("i", item), ("g", good), ("b", bad))}
+    surface = lambda k, at: [x[1] for x in t[k][0][at : at + 5]]
 
     def hits(d):
-        return [(k, k, [x[0] for x in t[d][k : k + 5]], [x[1] for x in t[d][k : k + 5]], [x[1] for x in t["i"][k : k + 5]], len(t["i"])) for k in range(len(t["i"]) - 4)]
+        return [(k, k, t[d][1][k : k + 5].tolist(), surface(d, k), surface("i", k), len(t["i"][0])) for k in range(len(t["i"][0]) - 4)]
 
     assert D.spans(hits("g"))[:2] == (1.0, "changed") and D.spans(hits("i"))[:2] == (1.0, "exact")
     assert D.spans(hits("b"))[0] < 1
@@ -66,7 +93,7 @@ def test_query_finds_every_copied_item(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r.doc_id: r["items"] for r in queries.op1_decontamination(spark, SF).collect()}
-    norm = lambda t: " ".join(filter(None, map(D.core, t.lower().split())))
+    norm = lambda t: " ".join(filter(None, (re.sub(r"[^\w]|_", "", x) for x in t.lower().split())))
     items = {i: (t, norm(t)) for i, t in items.items()}
     for i, t in texts.items():
         n = None

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
-Tokens between white space lose the punctuation at their ends and become lower-case literals, or typed placeholders:
-numbers, units, and names - capitalised tokens that don't begin a sentence. Windows of WINDOW template tokens with
+Tokens between white space lose their ASCII punctuation and become lower-case literals, or typed placeholders:
+numbers, units, and names - capitalised tokens that don't begin a sentence. They are read for many texts at once. Windows of WINDOW template tokens with
 LITERALS literals or more are hashed. Windows of documents meet those of the benchmark in a hash join; before it, a
 bitmap of the benchmark's hashes, of a fixed size that no benchmark changes, keeps most windows out of the shuffle.
 
@@ -16,7 +16,6 @@ repeat a doc_id are judged each and reported together. Null ids of items are dro
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,125 +24,138 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textscan
+
 WINDOW, LITERALS, COVERED, DRIFT = 5, 3, 0.5, 3
 BITMAP_BITS = 1 << 23
 
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 # Number words and units.
-NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
-UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph km/h m/s cent cents dollar dollars euro euros usd eur percent % $ € £ °c °f degree degrees".split())
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(st|nd|rd|th)?", re.ASCII)
-_CORE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph cent cents dollar dollars euro euros usd eur percent % $ € £".split()
+
+#: Bytes of a token that count: letters, digits, $, % and all beyond ASCII.
+KEPT = np.array([chr(b).isalnum() and b < 128 or b in b"$%" or b >= 128 for b in range(256)])
+_DIGIT = np.array([48 <= b <= 57 for b in range(256)])
+_ENDS = np.array([b in b".!?:" for b in range(256)])
 _P = np.uint64(0x9E3779B97F4A7C15)
+_CODE = {NUM: np.uint64(1), UNIT: np.uint64(2), NAME: np.uint64(3)}
 
 
-def core(token: str) -> str:
-    return _CORE.sub("", token)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of A to Z and, in UTF-8, of the Latin letters from U+00C0 to U+00DE."""
+    out = textscan.LOWER[data]
+    if len(data) > 1:
+        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][second] += 32
+    return out
 
 
-def classify(token: str, starts: bool) -> tuple[str, str]:
-    """(template token, surface) of a token; both empty if it's all punctuation."""
-    c = core(token)
-    if not c:
-        return "", ""
-    low = c.lower()
-    if _NUMBER.fullmatch(c) or low in NUMBERS:
-        return NUM, low
-    if low in UNITS and (low == c or len(c) > 1):
-        return UNIT, low
-    if not starts and c[0].isupper() and any(x.islower() for x in c):
-        return NAME, low
-    return low, low
+def _fixed(words: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    word = ~textscan.SPACE[data]
+    starts, ends = np.flatnonzero(np.diff(word, prepend=False) & word), np.flatnonzero(np.diff(word, append=False) & word) + 1
+    return np.sort(textscan.hash_runs(textscan.BYTE[data], starts, ends))
 
 
-class Coder:
-    """Numbers for tokens, and by number what a window needs to know of them; CAPACITY bounds its memory.
+_NUMBERS, _UNITS = _fixed(NUMBERS), _fixed(UNITS)
 
-    Every array has two rows: of tokens inside a sentence, and of those that begin one.
-    """
 
-    CAPACITY = 400_000
-
-    def __init__(self):
-        self.codes: dict[str, int] = {}
-        self.hash = np.zeros((2, self.CAPACITY), np.uint64)
-        self.literal = np.zeros((2, self.CAPACITY), bool)
-        self.there, self.ends = np.zeros(self.CAPACITY, bool), np.zeros(self.CAPACITY, bool)
-        self._add("\0")  # a line's end
-
-    def _add(self, token: str) -> int:
-        code = self.codes[token] = len(self.codes)
-        self.ends[code] = token == "\0" or token[-1] in ".!?:"
-        if token.isalpha() and token.islower() and token not in NUMBERS and token not in UNITS:
-            kinds = [token] * 2
-        else:
-            kinds = [classify(token, starts)[0] if token != "\0" else "" for starts in (False, True)]
-        self.there[code] = bool(kinds[0])
-        for starts, t in enumerate(kinds):
-            self.hash[starts, code] = xxhash.xxh3_64_intdigest(t)
-            self.literal[starts, code] = t not in (NUM, UNIT, NAME)
-        return code
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the text's template tokens, and which of them are literals."""
-        tokens = text.replace("\0", " ").replace("\n", " \0 ").split()
-        codes = list(map(self.codes.get, tokens))
-        if None in codes:
-            if len(self.codes) + len(tokens) >= self.CAPACITY:
-                if len(tokens) >= self.CAPACITY:  # a very long text, by parts that end with a line or sentence or not at all
-                    return self._long(tokens)
-                self.__init__()
-            codes = [self.codes[t] if t in self.codes else self._add(t) for t in tokens]
-        return self._gather(np.array(codes, np.int64), True)[:2]
-
-    def _gather(self, codes: np.ndarray, starts: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-        if not len(codes):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), starts
-        ends = self.ends[codes]
-        begin = np.concatenate([[starts], ends[:-1]]).astype(np.int64)
-        there = self.there[codes]
-        return self.hash[begin, codes][there], self.literal[begin, codes][there], bool(ends[-1])
-
-    def _long(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, literals, starts, step = [], [], True, self.CAPACITY // 2
-        for i in range(0, len(tokens), step):
-            self.__init__()
-            h, lit, starts = self._gather(np.array([self.codes[t] if t in self.codes else self._add(t) for t in tokens[i : i + step]], np.int64), starts)
-            hashes.append(h)
-            literals.append(lit)
-        return np.concatenate(hashes), np.concatenate(literals)
-
-
-def template(text: str) -> list[tuple[str, str]]:
-    """(template token, surface) of each token that isn't punctuation."""
-    out, starts = [], True
-    for token in text.replace("\0", " ").replace("\n", " \0 ").split():
-        if token == "\0":
-            starts = True
-            continue
-        t = classify(token, starts)
-        if t[0]:
-            out.append(t)
-        starts = token[-1] in ".!?:"
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, h)
+    return known[np.minimum(at, len(known) - 1)] == h
+
+
+def template(g: textscan.Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, literal, place) of the group's template tokens; place is the word's index. Placeholders are the small codes.
+
+    A token is a number if its first counted byte is a digit or it's a number word; a name if, within a sentence, it has
+    a capital first and a small letter later; a unit if it's listed.
+    """
+    low, kept = lowered(g.data), KEPT[g.data]
+    rank = np.cumsum(kept)
+    rank = np.concatenate([rank - kept, rank[-1:]])
+    there = rank[g.ends] > rank[g.starts]
+    place = np.flatnonzero(there)
+    s, e = g.starts[place], g.ends[place]
+    out = []
+    for k in range(0, len(s), 1 << 17):  # parts, for the sake of long texts
+        a, b = s[k], e[min(k + (1 << 17), len(s)) - 1]
+        part = np.where(kept[a:b], textscan.BYTE[low[a:b]], np.uint64(0))
+        out.append(textscan.hash_runs(part, s[k : k + (1 << 17)] - a, e[k : k + (1 << 17)] - a, rank[a:b] - rank[a]))
+    h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    # where sentences begin: after an end of one, at a line's or text's start
+    starts = np.zeros(len(g.starts), bool)
+    starts[1:] = _ENDS[g.data[g.ends[:-1] - 1]]
+    lines = np.concatenate([[0], np.cumsum(g.data == 10)])
+    starts[1:] |= lines[g.starts[1:]] > lines[g.ends[:-1]]
+    starts[g.at[:-1][g.at[:-1] < len(starts)]] = True
+    # the first counted byte: the kept one whose rank is that of the start
+    where = np.flatnonzero(kept)
+    first = where[rank[s]]
+    capital = low[first] != g.data[first]
+    two = np.minimum(first + 1, len(g.data) - 1)
+    capital |= (g.data[first] == 0xC3) & (low[two] != g.data[two])
+    small = np.concatenate([[0], np.cumsum(((g.data >= 97) & (g.data <= 122)) | ((g.data >= 0x9F) & (g.data <= 0xBF)))])
+    number = _DIGIT[g.data[first]] | _among(h, _NUMBERS)
+    unit = ~number & _among(h, _UNITS)
+    name = ~number & ~unit & capital & ~starts[place] & (small[e] > small[s])
+    h = np.maximum(h, np.uint64(16))
+    for what, code in ((number, _CODE[NUM]), (unit, _CODE[UNIT]), (name, _CODE[NAME])):
+        h = np.where(what, code, h)
+    return h, h > np.uint64(3), place
+
+
+def surfaces(g: textscan.Group, words: np.ndarray) -> list[str]:
+    """The counted bytes of words, in lower case."""
+    out = []
+    for s, e in zip(g.starts[words], g.ends[words], strict=True):
+        d = g.data[s:e]
+        out.append(lowered(d)[KEPT[d]].tobytes().decode("utf-8", "replace"))
     return out
 
 
-def windows(h: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of windows, and where they begin; those with too few literals are left out."""
+def bitmap_of(places: np.ndarray) -> bytes:
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return bits.tobytes()
+
+
+def within(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    k = h & np.uint64(BITMAP_BITS - 1)
+    return (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def windows(g: textscan.Group, known: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, int]]:
+    """(text, place in its template, hash, template hashes, words, length of the template) of each window with enough literals.
+
+    known: bitmaps of the tokens and of the windows that the benchmark holds; windows that it can't hold are left out.
+    """
+    if not len(g.starts):
+        return
+    h, literal, place = template(g)
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return
+    at = np.searchsorted(place, g.at)  # template tokens of each text
+    text = np.repeat(np.arange(g.last - g.first), np.diff(at))
+    ok = literal if known is None else ~literal | within(h, known[0])
+    good = np.concatenate([[0], np.cumsum(ok | ~literal)])
     lit = np.concatenate([[0], np.cumsum(literal)])
+    w = np.flatnonzero((text[:n] == text[WINDOW - 1 :]) & (lit[WINDOW:] - lit[:-WINDOW] >= LITERALS) & ((good[WINDOW:] - good[:-WINDOW] == WINDOW) if known is not None else True))
     with np.errstate(over="ignore"):
-        acc = np.zeros(n, np.uint64)
+        acc = np.zeros(len(w), np.uint64)
         for k in range(WINDOW):
-            acc = acc * _P + h[k : k + n]
-            acc ^= acc >> np.uint64(29)
-    keep = np.flatnonzero(lit[WINDOW:] - lit[:-WINDOW] >= LITERALS)
-    return acc[keep], keep
+            acc = textscan.mix(acc * _P + h[w + k])
+    if known is not None:
+        hit = within(acc, known[1])
+        w, acc = w[hit], acc[hit]
+    for x, v in zip(w, acc, strict=True):
+        t = text[x]
+        yield g.first + int(t), int(x - at[t]), int(v.view(np.int64)), h[x : x + WINDOW], place[x : x + WINDOW], int(at[t + 1] - at[t])
 
 
-def spans(hits: list[tuple[int, int, list[str], list[str], list[str], int]]) -> tuple[float, str, int, int] | None:
+def spans(hits: list[tuple[int, int, list[int], list[str], list[str], int]]) -> tuple[float, str, int, int] | None:
     """The best passage of one item in one document.
 
     hits are (place in document, place in item, the window's template, document's surfaces, item's surfaces, item's
@@ -160,7 +172,7 @@ def spans(hits: list[tuple[int, int, list[str], list[str], list[str], int]]) ->
         back: dict = {}
         covered, same, places = set(), True, []
         for d, p, temp, mine, other, _ in sorted(hits[i:j], key=lambda h: h[1]):
-            pairs = [(t, b, a) for t, a, b in zip(temp, mine, other, strict=True) if t in (NUM, UNIT, NAME)]
+            pairs = [(t, b, a) for t, a, b in zip(temp, mine, other, strict=True) if 0 < t <= 3]
             if any(there.get((t, b), a) != a or back.get((t, a), b) != b for t, b, a in pairs):
                 continue  # contradicts what stands before
             there.update(((t, b), a) for t, b, a in pairs)
@@ -175,26 +187,21 @@ def spans(hits: list[tuple[int, int, list[str], list[str], list[str], int]]) ->
     return best
 
 
-_WINDOW_SCHEMA = "_id bigint, _x bigint, at int, h bigint, template array<string>, surface array<string>, n int"
+_WINDOW_SCHEMA = "_id bigint, _x bigint, at int, h bigint, template array<bigint>, surface array<string>, n int"
+
 
+def _emit(known: tuple[bytes, bytes] | None):
+    """known: the benchmark's bitmaps of tokens and of windows."""
 
-def _emit(bitmap: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
-        coder = Coder()
+        bits = None if known is None else tuple(np.frombuffer(k, np.uint8) for k in known)
         for b in batches:
-            rows = []
-            for i in range(b.num_rows):
-                text = b.column(1)[i].as_py() or ""
-                h, at = windows(*coder.read(text))
-                if bits is not None and len(h):
-                    k = h & np.uint64(BITMAP_BITS - 1)
-                    hit = (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1
-                    h, at = h[hit == 1], at[hit == 1]
-                if len(h):
-                    tokens = template(text)
-                    doc, x = b.column(0)[i].as_py(), xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    rows += [(doc, x, int(a), int(v), [t[0] for t in tokens[a : a + WINDOW]], [t[1] for t in tokens[a : a + WINDOW]], len(tokens)) for a, v in zip(at, h.view(np.int64), strict=True)]
+            rows, digest = [], {}
+            for g in textscan.groups(b.column(1)):
+                for i, at, h, temp, words, n in windows(g, bits):
+                    if i not in digest:
+                        digest[i] = xxhash.xxh3_64_intdigest((b.column(1)[i].as_py() or "").encode()) - (1 << 63)
+                    rows.append((b.column(0)[i].as_py(), digest[i], at, h, temp.view(np.int64).tolist(), surfaces(g, words), n))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
@@ -203,7 +210,7 @@ def _emit(bitmap: bytes | None):
     return run
 
 
-_ARROW = pa.schema([("_id", pa.int64()), ("_x", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("template", pa.list_(pa.string())), ("surface", pa.list_(pa.string())), ("n", pa.int32())])
+_ARROW = pa.schema([("_id", pa.int64()), ("_x", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("template", pa.list_(pa.int64())), ("surface", pa.list_(pa.string())), ("n", pa.int32())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -211,18 +218,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
-def template_windows(df: DataFrame, id_: str, bitmap: bytes | None = None) -> DataFrame:
-    return df.select(F.col(id_).cast("bigint").alias("_id"), "text").where("_id is not null").mapInArrow(_emit(bitmap), _WINDOW_SCHEMA)
+def template_windows(df: DataFrame, id_: str, known: tuple[bytes, bytes] | None = None) -> DataFrame:
+    return df.select(F.col(id_).cast("bigint").alias("_id"), "text").where("_id is not null").mapInArrow(_emit(known), _WINDOW_SCHEMA)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, share, kind, first, last) of each item that a document holds; places count template tokens."""
     items = template_windows(benchmark, "item_id")
-    # at most BITMAP_BITS distinct places come to the driver, whatever the benchmark's size
-    places = items.select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy()
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    w = template_windows(docs, "doc_id", bits.tobytes())
+    # at most BITMAP_BITS distinct places of each come to the driver, whatever the benchmark's size
+    rows = items.select(F.explode("template").alias("h"))
+    tokens, places = (d.select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy() for d in (rows, items))
+    w = template_windows(docs, "doc_id", (bitmap_of(tokens), bitmap_of(places)))
     b = items.select(F.col("_id").alias("item_id"), "h", F.col("_x").alias("_ix"), F.col("at").alias("iat"), F.col("template").alias("itemplate"), F.col("surface").alias("isurface"), F.col("n").alias("in"))
     hits = w.join(b, "h").where(F.col("template") == F.col("itemplate"))
     hits = hits.groupBy("_id", "_x", "item_id", "_ix").agg(F.collect_list(F.struct("at", "iat", "template", "surface", "isurface", "in")).alias("hits"))
