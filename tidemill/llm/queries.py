@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, simhash, toxicity, urls, warc
+from . import chat, decontaminate, licenses, pieces, setsketch, simhash, toxicity, urls, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,3 +101,13 @@ def op1_decontamination(spark, sf):
 def op7_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     return toxicity.score_documents(docs, toxicity.model_for(docs, table(spark, sf, "labels")))
+
+
+@query()
+def op5_sentencepiece(spark, sf):
+    return pieces.digest_documents(table(spark, sf, "documents"), pieces.load())
+
+
+@query()
+def op10_minhash_near_dedup(spark, sf):
+    return setsketch.group_documents(table(spark, sf, "documents"), 85)
