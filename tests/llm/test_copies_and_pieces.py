@@ -190,3 +190,23 @@ def test_piece_rows(spark):
     assert pieces.digest_documents(d.limit(0), pieces.load()).count() == 0
     with pytest.raises(ValueError):
         pieces.Model(b"\x1a\x06\x12\x04abcd")
+
+
+def test_crowd_beyond_small_buckets(spark, monkeypatch):
+    """More edits than the threshold allows for most: groups by prefixes of sets, with small buckets left to them too."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(60)}"
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        c = base[:]
+        for _ in range(rng.randrange(1, 7)):
+            c[rng.randrange(len(c))] = word()
+        if rng.random() < 0.4:
+            del c[: rng.randrange(1, 6)]
+        rows.append((i, " ".join(c)))
+    want = plain_groups(dict(rows), 85)
+    assert len({c for _, c in want.values()}) > 5
+    for small in (24, 0, 10_000):
+        monkeypatch.setattr(setsketch, "SMALL", small)
+        assert grouped(spark, rows) == want

@@ -11,9 +11,10 @@ members: sketches of parts merge by the larger register, and registers of like s
 3. In a band's bucket all are paired with one of them, first, not all with all. The pair's joint likelihood of its
    registers' order estimates the similarity; who lies SIGMAS deviations or more below the threshold is left out.
 4. Full sets, made from the texts again, verify each pair: 100 * intersection >= percent * union, in integers.
-5. Verified links make groups. Members of a bucket that are in different groups are paired again with another member, in
-   ROUNDS rounds, and at last each with each across groups, so that no link between groups goes unseen. Copies and
-   near copies are in one group by then, so these last pairs are few.
+5. Verified links make groups. Members of a bucket that are in different groups are paired again with its most central
+   member. What then is still in one bucket and different groups is compared across groups: in buckets of SMALL members
+   or fewer each with each, in larger ones - crowds of copies that differ too much - by an exact prefix join, whose work
+   doesn't grow with the square of a crowd. So no link between groups goes unseen.
 
 Nothing of size is collected. Hot keys: equal sets collapse before any join; joins on classes, hubs and buckets are salted,
 or of the kind that Spark splits. What is cut from its lineage is written to the shared folder.
@@ -31,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, shared_dir
 from . import textscan
 
-WORDS, M, B, MISSED, SIGMAS, ROUNDS, SALTS = 5, 256, 1.2, 1e-6, 6.0, 2, 16
+WORDS, M, B, MISSED, SIGMAS, SALTS = 5, 256, 1.2, 1e-6, 6.0, 16
+#: Members of a bucket that are compared each with each; what larger ones hold is found by prefixes.
+SMALL = 24
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = _rng.integers(0, 1 << 63, M, dtype=np.uint64) * np.uint64(2)
@@ -162,6 +166,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "s"]).filter(same)
 
 
+def _set_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, set, comp) -> (shingle, id, size, comp)."""
+    for b in batches:
+        for k in range(b.num_rows):
+            h = np.frombuffer(b.column(1)[k].as_buffer(), np.int64)
+            same = lambda v, n=len(h): pa.array(np.full(n, v, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h), same(b.column(0)[k].as_py()), same(len(h)), same(b.column(2)[k].as_py())], ["h", "id", "n", "comp"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,17 +250,20 @@ class Search:
         shared = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
         self.buckets = kept(salted(keys, shared, ["key"], "id", "inner"), "buckets")
         self.kept = kept
-        self.round = 0
 
     def stars(self, comp: DataFrame | None) -> DataFrame:
-        """Pairs (a, b) of each bucket's members with one of them, of other groups only."""
-        hub = F.min_by("id", F.xxhash64("id", F.lit(self.round))) if self.round else F.min("id")
+        """Pairs (a, b) of each bucket's members with one of them, of other groups only.
+
+        First that is the smallest id, then the most central: the one whose buckets have most members.
+        """
         if comp is None:
-            hubs = self.buckets.groupBy("key").agg(hub.alias("hub"))
+            hubs = self.buckets.groupBy("key").agg(F.min("id").alias("hub"))
             d = salted(self.buckets, hubs, ["key"], "id", "inner").where("id <> hub")
         else:
-            m = self.members(comp)
-            hubs = m.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), F.xxhash64("id", F.lit(self.round))).alias("h")).select("key", "h.*")
+            sizes = self.buckets.groupBy("key").agg(F.count("*").alias("_n"))
+            score = salted(self.buckets, sizes, ["key"], "id", "inner").groupBy("id").agg(F.sum("_n").alias("score"))
+            m = checkpointed(self.members(comp).join(score, "id"))
+            hubs = m.groupBy("key").agg(F.max(F.struct("score", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("key", "h.hub", "h.hub_comp")
             d = salted(m, hubs, ["key"], "id", "inner").where("comp <> hub_comp")
         return d.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -257,11 +273,46 @@ class Search:
         mixed = m.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z").select("key")
         return salted(m, mixed, ["key"], "id", "inner")
 
-    def across(self, comp: DataFrame) -> DataFrame:
-        """All pairs of a bucket's members that are in different groups."""
+    def across(self, comp: DataFrame, name: str) -> DataFrame:
+        """Pairs of members of one bucket in different groups: all of them in small buckets, and in others all that can be linked."""
         m = checkpointed(self.members(comp))
-        o = m.select("key", F.col("id").alias("b"), F.col("comp").alias("_other"))
-        return m.withColumnRenamed("id", "a").join(o, "key").where("a < b and comp <> _other").select("a", "b").distinct()
+        sizes = m.groupBy("key").agg(F.count("*").alias("_n"))
+        m = checkpointed(salted(m, sizes, ["key"], "id", "inner"))
+        few = m.where(F.col("_n") <= SMALL)
+        o = few.select("key", F.col("id").alias("b"), F.col("comp").alias("_other"))
+        small = few.withColumnRenamed("id", "a").join(o, "key").where("a < b and comp <> _other").select("a", "b")
+        return small.unionByName(self.crowded(m.where(F.col("_n") > SMALL).select("id", "comp").distinct(), name)).distinct()
+
+    def crowded(self, ids: DataFrame, name: str) -> DataFrame:
+        """Pairs of ids (id, comp) across groups that may be linked, found by prefixes of their sets; exact.
+
+        Shingles are ordered by how many of these sets hold them, rarest first. Two sets with an overlap of `need` have a
+        first common shingle, at place i of one and j of the other, and hold no more than n - i and m - j from there on.
+        So only places go on from which enough can follow. To test a hot shingle's places pair by pair would take the
+        square of a crowd: places are tested against the earliest one of each set size first, and only those that pass
+        meet the sets of that size.
+        """
+        t = self.percent
+        rows = self.set_table(ids, name).join(ids, "id").mapInArrow(_set_members, "h bigint, id bigint, n bigint, comp bigint")
+        rows = self.kept(rows, f"members-{name}")
+        counts = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        rows = salted(rows, counts, ["h"], "id").withColumn("df", F.coalesce("df", F.lit(1)))
+        rows = rows.withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("df", "h")) - 1)
+        rows = checkpointed(rows.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("i")) >= t * F.col("n"))))
+        early = rows.groupBy("h", F.col("n").alias("m")).agg(F.min("i").alias("j"), F.min("comp").alias("_a"), F.max("comp").alias("_z"))
+        # overlap >= percent of the union: (100 + percent) * overlap >= percent * (n + m)
+        enough = lambda rest: (100 + t) * rest >= t * (F.col("n") + F.col("m"))
+        able = salted(rows, early, ["h"], "id", "inner").where(enough(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & ((F.col("_a") != F.col("comp")) | (F.col("_z") != F.col("comp"))))
+        able = able.select("h", "m", "n", "i", "comp", "id")
+        other = rows.select("h", F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("_other"), F.col("id").alias("_id"))
+        found = able.join(other, ["h", "m"]).where((F.col("comp") != F.col("_other")) & enough(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))))
+        return found.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
+
+    def set_table(self, ids: DataFrame, name: str) -> DataFrame:
+        """(id, s) of ids (id): full sets, made from the texts; of an id's texts, that whose sketch stands for the id."""
+        want = ids.select("id").join(self.reps.select("id", "d0"), "id")
+        s = self.docs.join(want, "id").select("id", "d0", "text").mapInArrow(_set_rows, "id bigint, s binary").dropDuplicates(["id"])
+        return self.kept(s, f"sets-{name}")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of pairs (a, b) that are linked."""
@@ -270,10 +321,7 @@ class Search:
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         likely = self.kept(sized.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_likely(self.percent), "a bigint, b bigint"), f"likely-{name}")
         ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        # an id's texts may differ: the set is that of the text whose sketch stands for the id
-        want = ids.join(self.reps.select("id", "d0"), "id")
-        s = self.docs.join(want, "id").select("id", "d0", "text").mapInArrow(_set_rows, "id bigint, s binary").dropDuplicates(["id"])
-        s = self.kept(s, f"sets-{name}")
+        s = self.set_table(ids, name)
         both = likely.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return self.kept(both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a bigint, b bigint"), f"links-{name}")
 
@@ -281,17 +329,15 @@ class Search:
         """(id, comp) of representatives that are linked with another."""
         links = self.verified(self.stars(None), "0")
         comp = checkpointed(components(links))
-        for self.round in range(1, ROUNDS + 2):
-            pairs = checkpointed((self.stars(comp) if self.round <= ROUNDS else self.across(comp)).join(links, ["a", "b"], "left_anti"))
+        for step in ("central", "across"):
+            pairs = self.stars(comp) if step == "central" else self.across(comp, "crowd")
+            pairs = checkpointed(pairs.join(links, ["a", "b"], "left_anti"))
             if pairs.isEmpty():
-                if self.round <= ROUNDS:
-                    continue
-                break
-            more = self.verified(pairs, str(self.round))
-            if more.isEmpty():
                 continue
-            links = links.unionByName(more)
-            comp = checkpointed(components(links))
+            more = self.verified(pairs, step)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                comp = checkpointed(components(links))
         return comp
 
 
