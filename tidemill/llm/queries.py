@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, pieces, setsketch, simhash, toxicity, urls, warc
+from . import chat, decontaminate, licenses, lm, pieces, setsketch, simhash, toxicity, urls, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -111,3 +111,8 @@ def op5_sentencepiece(spark, sf):
 @query()
 def op10_minhash_near_dedup(spark, sf):
     return setsketch.group_documents(table(spark, sf, "documents"), 85)
+
+
+@query()
+def op2_lm_scoring(spark, sf):
+    return lm.score_documents(table(spark, sf, "documents"))
