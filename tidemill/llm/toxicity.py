@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TRAIN_CHARS = 8000, 100_000
+from . import textscan
+
+TRAIN_DOCS, TRAIN_CHARS = 4000, 100_000
 #: An insult begins words by so many letters, and its texts are toxic by so many nats more than chance explains.
 LEAST_PREFIX, MOST_PREFIX, LEAST_GAIN, DECAY = 3, 12, 14.0, 0.6
 NO_MODEL = 0.1
@@ -138,7 +140,7 @@ def learn_insults(texts: list[tuple[str, int]]) -> dict[str, float]:
 
     Whatever stands beside known insults again and again - the other words of a passage that was copied - gains little.
     """
-    where: dict[str, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+    where: tuple[dict[str, list[int]], dict[str, list[int]]] = (defaultdict(list), defaultdict(list))  # other texts, toxic ones
     many = [0, 0]
     seen: dict[int, int] = {}
     for n, (text, toxic) in enumerate(texts):
@@ -151,7 +153,7 @@ def learn_insults(texts: list[tuple[str, int]]) -> dict[str, float]:
         seen.update((h, n) for h in least if h not in seen)
         many[toxic] += 1
         for t in tokens:
-            where[t][toxic].add(n)
+            where[toxic][t].append(n)
     if not all(many):
         return {}
     base = many[1] / sum(many)
@@ -164,19 +166,21 @@ def learn_insults(texts: list[tuple[str, int]]) -> dict[str, float]:
         return 0.0 if rate <= base else p * math.log(rate / base) + (n * math.log((1 - rate) / (1 - base)) if n else 0.0)
 
     words: dict[str, set[str]] = defaultdict(set)
-    for token in where:
-        if where[token][1]:
-            for k in range(LEAST_PREFIX, min(len(token), MOST_PREFIX) + 1):
+    for token in where[1]:
+        for k in range(LEAST_PREFIX, min(len(token), MOST_PREFIX) + 1):
+            words[token[:k]].add(token)
+    words = {p: w for p, w in words.items() if gain(len(set().union(*(where[1][t] for t in w))), 0) >= LEAST_GAIN}
+    for token in where[0]:  # what begins so and stands in other texts counts as well
+        for k in range(LEAST_PREFIX, min(len(token), MOST_PREFIX) + 1):
+            if token[:k] in words:
                 words[token[:k]].add(token)
-    words = {p: w for p, w in words.items() if gain(len(set().union(*(where[t][1] for t in w))), 0) >= LEAST_GAIN}
-    for token in where:  # what begins so and stands in other texts only counts as well
-        if not where[token][1]:
-            for k in range(LEAST_PREFIX, min(len(token), MOST_PREFIX) + 1):
-                if token[:k] in words:
-                    words[token[:k]].add(token)
+
+    def texts_of(p: str) -> tuple[set[int], set[int]]:
+        """Toxic texts and others that hold words beginning with p."""
+        return tuple(set().union(*(where[y].get(t, ()) for t in words[p])) for y in (1, 0))
 
     def value(p: str) -> tuple[float, int, str]:
-        pos, neg = (set().union(*(where[t][y] for t in words[p])) for y in (1, 0))
+        pos, neg = texts_of(p)
         return (gain(sum(DECAY ** held[n] for n in pos), len(neg)), len(p), p)  # of beginnings with the same texts, the longest
 
     heap = [(-v[0], -v[1], v[2]) for v in map(value, words) if v[0] >= LEAST_GAIN]
@@ -191,7 +195,7 @@ def learn_insults(texts: list[tuple[str, int]]) -> dict[str, float]:
         if now < -g:  # a chosen one has explained part of it
             heapq.heappush(heap, (-now, -len(p), p))
             continue
-        pos, neg = (set().union(*(where[t][y] for t in words[p])) for y in (1, 0))
+        pos, neg = texts_of(p)
         held.update(pos)
         out[p] = math.log((len(pos) + 0.5) / (many[1] + 1)) - math.log((len(neg) + 0.5) / (many[0] + 1))
     return out
@@ -263,6 +267,7 @@ def score_documents(docs: DataFrame, model) -> DataFrame:
             s = np.array([g[0] for g in got])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32")), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "held_out", "score", "predicted", "toxic_clauses"])
 
+    textscan.small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     d = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return d.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, toxic_clauses bigint")
@@ -270,6 +275,7 @@ def score_documents(docs: DataFrame, model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, all their columns as they are."""
+    textscan.small_batches(docs.sparkSession)
     model, at = model_for(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
