@@ -121,9 +121,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bands(rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x.slice(k, 1024) for x in batches for k in range(0, x.num_rows, 1024)):
             r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, M)[:, : rows * bands].reshape(-1, bands, rows).astype(np.uint64)
             key = np.full(r.shape[:2], 0x9E3779B97F4A7C15, np.uint64)
             with np.errstate(over="ignore"):
@@ -197,15 +195,15 @@ def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str =
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, comp), the smallest id that each end reaches; by large stars and small stars in turn.
 
-    A round leaves each id pointing to a smaller one of its group. Least neighbours come from partial sums, and edges take
-    them by salted joins. It ends when a round changes no edge, after a logarithm of the longest path, mostly three.
+    A round leaves each id pointing to a smaller one of its group. Least neighbours come from partial minima, and are read
+    again, so that the join which hands them to edges is of two plain tables and Spark splits a hub's. It ends when a round changes no edge, after a logarithm of the longest path, mostly three.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        e = salted(e, least, ["a"], "b", "inner")
+        e = e.join(checkpointed(least), "a")
         if large:
             out = e.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -231,6 +229,7 @@ class Search:
 
     def __init__(self, docs: DataFrame, percent: int):
         spark = docs.sparkSession
+        textscan.small_batches(spark)
         self.percent, (self.rows, self.bands) = percent, rows_of(percent)
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
         top = shared_dir(spark)

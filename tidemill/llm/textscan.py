@@ -55,6 +55,13 @@ def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np
     return mix(h)
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let Spark hand Python at most so many rows at a time in this session: whole texts and sets are wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 @dataclass
 class Group:
     """Texts first .. last - 1 of a batch. Words lie in data at starts .. ends; text i has words at[i - first] .. at[i - first + 1]."""
