@@ -106,3 +106,14 @@ def test_licenses_of_a_table(spark):
     texts = {r.doc_id: r.text for r in df.collect()}
     got = {r.doc_id: r.licenses for r in licenses.scan_documents(df).collect()}
     assert got == {i: sorted(n for n, x in licenses.NOTICES.items() if contained(t, x) >= 0.8) for i, t in texts.items()}
+
+
+def test_license_lines_found_by_plain_search(spark):
+    lines = {"Released under the MIT License.": "mit-short", "Licensed under the Apache License, Version 2.0": "apache-2.0"}
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()] + [(-1, "a b This work is licensed under the Apache License, Version 2.0. c")]
+    got = {r.doc_id: r.licenses for r in licenses.scan_documents(docs(spark, rows)).collect()}
+    for line, name in lines.items():
+        want = {i for i, t in rows if line in (t or "")}
+        assert want and want <= {i for i, x in got.items() if name in x}
+    assert got[-1] == ["apache-2.0"]

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 # Notices by which public licenses are named in texts.
 NOTICES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "apache-2.0-short": "This work is licensed under the Apache License, Version 2.0.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "apache-2.0-body": "Apache License Version 2.0, January 2004",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
@@ -33,6 +33,7 @@ NOTICES = {
     "gpl-2.0-short": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-short": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
