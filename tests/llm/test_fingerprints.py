@@ -117,3 +117,11 @@ def test_license_lines_found_by_plain_search(spark):
         want = {i for i, t in rows if line in (t or "")}
         assert want and want <= {i for i, x in got.items() if name in x}
     assert got[-1] == ["apache-2.0"]
+
+
+def test_no_notice_is_found_in_a_siblings_line(spark):
+    line = "This work is licensed under the GNU General Public License, version {}."
+    rows = [(2, f"a b {line.format(2)} c d"), (3, f"a b {line.format(3)} c d")]
+    got = {r.doc_id: r.licenses for r in licenses.scan_documents(docs(spark, rows)).collect()}
+    assert got == {2: ["gpl-2.0-short"], 3: ["gpl-3.0-short"]}
+    assert not [(a, b) for a, x in licenses.NOTICES.items() for b, y in licenses.NOTICES.items() if a != b and contained(x, y) >= licenses.CONTAINED]

@@ -19,7 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices by which public licenses are named in texts.
+# Notices by which public licenses are named in texts. Each is cut to what tells it from its siblings, so that
+# none is held to CONTAINED by another's text.
 NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-body": "Apache License Version 2.0, January 2004",
@@ -30,8 +31,8 @@ NOTICES = {
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "gpl-2.0-short": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-2.0-short": "GNU General Public License, version 2",
+    "gpl-3.0-short": "GNU General Public License, version 3",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mit-short": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
