@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from .model import JobSpec, StageOp
 
-COMMAND = "RainStorm"  # fixed value: the command word users type
+_WORD = re.compile(r'(?:"[^"]*"?|[^ \t"])+')
+_COUNT = re.compile(r"[+-]?\d+")
 
 
 def tokenize(line: str) -> list[str]:
     """Words of a command; double quotes group, there are no escapes, and empty words vanish."""
-    words, word, quoted = [], "", False
-    for c in line:
-        if c == '"':
-            quoted = not quoted
-        elif c in " \t" and not quoted:
-            words += [word] if word else []
-            word = ""
-        else:
-            word += c
-    return words + ([word] if word else [])
+    return [bare for word in _WORD.findall(line) if (bare := word.replace('"', ""))]
+
+
+def builtin(name: str) -> str:
+    """The name by which a stage of this package is known: the last part of a path, without an extension."""
+    return re.split(r"[/\\]", name)[-1].split(".")[0] or name
 
 
 def parse_op(text: str) -> StageOp:
@@ -29,18 +28,19 @@ def parse_op(text: str) -> StageOp:
 def fuse(ops: list[StageOp]) -> list[StageOp]:
     """Give an aggregate's column to the filter just before it, which then projects that column.
 
-    A filter that already has a column keeps it; the aggregate's argument goes either way.
-    A filter without a pattern would take the column for its pattern: that is an error here.
+    Stages are told by their paths: any that holds `filter`, any that holds `aggregate`. A filter that already has a column
+    keeps it; the aggregate's argument goes either way. The filter of this package would take the column for its pattern
+    if it had none: that is an error here.
     """
     out = list(ops)
-    for i, op in enumerate(ops):
-        if op.name == "aggregate" and op.args and i and out[i - 1].name == "filter":
-            before = out[i - 1]
-            if not before.args:
-                raise ValueError("filter needs a pattern before aggregate::n; write 'filter::' for every line")
-            if len(before.args) == 1:
-                out[i - 1] = StageOp("filter", (before.args[0], op.args[0]))
-            out[i] = StageOp("aggregate")
+    for i, (before, op) in enumerate(zip(ops, ops[1:], strict=False)):
+        if "filter" not in before.name or "aggregate" not in op.name or not op.args:
+            continue
+        if not before.args and builtin(before.name) == "filter":
+            raise ValueError("filter needs a pattern before aggregate::n; write 'filter::' for every line")
+        if len(out[i].args) < 2:
+            out[i] = StageOp(before.name, (*out[i].args, op.args[0]))
+        out[i + 1] = StageOp(op.name, op.args[1:])
     return out
 
 
@@ -51,12 +51,15 @@ def _flag(word: str) -> bool:
 
 
 def parse_job(line: str) -> JobSpec:
-    """`RainStorm stages tasks op.. src dest exactly_once autoscale rate low high`. Surplus ops are ignored."""
+    """`[command] stages tasks op.. src dest exactly_once autoscale rate low high`. Surplus ops are ignored.
+
+    The command is any word that isn't a number; it says nothing.
+    """
     words = tokenize(line)
-    if words[:1] == [COMMAND]:
+    if words and not _COUNT.fullmatch(words[0]):
         words = words[1:]
     if len(words) < 10:
-        raise ValueError("usage: RainStorm <stages> <tasks> <op>.. <src> <dest> <exactly_once> <autoscale> <rate> <lw> <hw>")
+        raise ValueError("usage: [command] <stages> <tasks> <op>.. <src> <dest> <exactly_once> <autoscale> <rate> <lw> <hw>")
     n, tasks = int(words[0]), int(words[1])
     ops, (src, dest, once, scale, rate, low, high) = words[2:-7], words[-7:]
     if n < 1 or tasks < 1:

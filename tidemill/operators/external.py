@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 OUT = "ID string, Key string, Value string, Timestamp timestamp"
 
 
-def external(df: DataFrame, command: str, *args: str, timeout: float = 60.0) -> DataFrame:
+def external(df: DataFrame, command: str, *args: str, timeout: float | None = None) -> DataFrame:
     """Rows that the executable returns for each row; the process lives as long as its partition.
 
     An envelope without OriginalTupleId or OutputTuples is skipped. Children of one row that share its ID get `#i`
-    appended, so that later dedup keeps them. The process's own memory isn't part of any checkpoint.
+    appended, so that later dedup keeps them. The process's own memory isn't part of any checkpoint. With a timeout, a
+    process that says nothing for so many seconds fails the task.
     """
     path = shutil.which(command) or os.path.abspath(command)
     if not os.path.exists(path):
@@ -44,6 +45,12 @@ def external(df: DataFrame, command: str, *args: str, timeout: float = 60.0) ->
                 p.stdin.flush()
             p.stdin.close()
 
+        def said() -> str | None:
+            try:
+                return lines.get(timeout=timeout)
+            except queue.Empty:
+                raise TimeoutError(f"{argv[0]} said nothing for {timeout} s") from None
+
         failed: list[BaseException] = []
 
         def feeder() -> None:
@@ -57,7 +64,7 @@ def external(df: DataFrame, command: str, *args: str, timeout: float = 60.0) ->
         threading.Thread(target=feeder, daemon=True).start()
         rows = []
         try:
-            while (line := lines.get(timeout=timeout)) is not None:
+            while (line := said()) is not None:
                 rows += parse_envelope(line)
                 if len(rows) >= 5000:
                     yield frame(rows)
@@ -82,11 +89,17 @@ def parse_envelope(line: str) -> list[tuple]:
         return []
     out, many = [], len(e["OutputTuples"]) > 1
     for i, t in enumerate(e["OutputTuples"]):
+        if not isinstance(t, dict):
+            continue
         name = t.get("ID") or e["OriginalTupleId"]
-        out.append((f"{name}#{i}" if many and name == e["OriginalTupleId"] else name, t.get("Key", ""), t.get("Value", ""), t.get("Timestamp")))
+        out.append((f"{name}#{i}" if many and name == e["OriginalTupleId"] else name, _text(t.get("Key")), _text(t.get("Value")), t.get("Timestamp")))
     return out
 
 
+def _text(v) -> str:
+    return v if isinstance(v, str) else "" if v is None else json.dumps(v)
+
+
 def frame(rows: list[tuple]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=["ID", "Key", "Value", "Timestamp"])
-    return df.assign(Timestamp=pd.to_datetime(df["Timestamp"], utc=True, format="ISO8601").dt.tz_localize(None))
+    return df.assign(Timestamp=pd.to_datetime(df["Timestamp"], utc=True, format="ISO8601", errors="coerce").dt.tz_localize(None))

@@ -23,6 +23,11 @@ def tasks(spark: SparkSession, stages: int, per_stage: int) -> DataFrame:
     return spark.range(stages).select(F.col("id").cast("int").alias("stage")).crossJoin(spark.range(per_stage).select(F.col("id").cast("int").alias("task")))
 
 
+def task_names(t: DataFrame, started: int) -> DataFrame:
+    """Adds task_id: stage, index and the second of the start."""
+    return t.withColumn("task_id", F.format_string("task-%d-%d-%d", "stage", "task", F.lit(started).cast("bigint")))
+
+
 def topology_edges(t: DataFrame) -> DataFrame:
     """Every task to every task of the next stage."""
     a, b = t.select(F.col("stage").alias("from_stage"), F.col("task").alias("from_task")), t.select(F.col("stage").alias("to_stage"), F.col("task").alias("to_task"))
@@ -54,8 +59,16 @@ def throughput(metrics: DataFrame, every: float = 2.0) -> DataFrame:
 
 
 def stage_rates(rates: DataFrame) -> DataFrame:
-    """rates (stage, task, rate), the latest of each task."""
-    return rates.groupBy("stage").agg(F.sum("rate").alias("rate"), F.count("*").alias("tasks")).withColumn("avg_rate", F.col("rate") / F.col("tasks"))
+    """rates (stage, task, rate): those of one moment, or of each t if they have one."""
+    by = ["stage", "t"] if "t" in rates.columns else ["stage"]
+    return rates.groupBy(*by).agg(F.sum("rate").alias("rate"), F.count("*").alias("tasks")).withColumn("avg_rate", F.col("rate") / F.col("tasks"))
+
+
+def bandwidth(messages: DataFrame, every: float) -> DataFrame:
+    """messages (node, t seconds, direction, bytes) -> bytes in and out of each node in each `every` seconds, and a second."""
+    way = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("bytes"))), F.lit(0))
+    g = messages.groupBy("node", F.floor(F.col("t") / every).alias("slice")).agg(way("in").alias("bytes_in"), way("out").alias("bytes_out"))
+    return g.withColumns({"rate_in": F.col("bytes_in") / every, "rate_out": F.col("bytes_out") / every})
 
 
 def scale_decision(stages: DataFrame, low: float, high: float) -> DataFrame:
@@ -84,8 +97,11 @@ def wal_merge(survivor: DataFrame, killed: DataFrame) -> DataFrame:
 
 
 def delivery_stats(log: DataFrame) -> DataFrame:
+    """Counts of records, and of received tuples whose last REC record doesn't say `Processed` in its JSON payload."""
     is_ = lambda t: F.count_if(F.col("type") == t)
-    return log.agg(is_("REC").alias("received"), is_("SENT").alias("sent"), is_("ACK").alias("acked"))
+    done = F.coalesce(F.get_json_object("payload", "$.Processed"), F.lit("false")) == "true"
+    left = wal_received(log).agg(F.count_if(~done).alias("unprocessed"))
+    return log.agg(is_("REC").alias("received"), is_("SENT").alias("sent"), is_("ACK").alias("acked")).crossJoin(left)
 
 
 def read_wal(spark: SparkSession, path: str) -> DataFrame:

@@ -7,22 +7,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Slots of a ring; what is made for each slot is bounded by them, whatever the number of members or files.
+SLOTS = 256
+
+
+def _heads(members: DataFrame, n: int) -> DataFrame:
+    """(slot, the first n members there, in order)."""
+    first = members.withColumn("_k", F.row_number().over(W.partitionBy("slot").orderBy("addr"))).where(F.col("_k") <= n)
+    return first.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("addr", "alive"))).alias("heads"))
+
+
+def _ring(slots: DataFrame, *more: str) -> DataFrame:
+    """One row: an array of the slots that have members, in order."""
+    return slots.agg(F.sort_array(F.collect_list(F.struct("slot", "heads", *more))).alias("ring"))
+
+
+def _onward(at: Column) -> Column:
+    """The heads of the slots after the at-th of the ring, round to that one itself."""
+    n = F.size("ring")
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.get("ring", ((at + k) % n).cast("int"))["heads"]))
+
+
 def ring_placement(files: DataFrame, members: DataFrame, replicas: int = 3) -> DataFrame:
     """files (name, slot), members (addr, slot, alive) -> the nodes that hold each file.
 
-    The primary is the first live member at or after the file's slot, round the ring; the replicas are the next slots
-    of the ring, of which dead ones are skipped and not replaced. A ring has 256 slots, so the members' list is a
-    small array, and each file finds its place in it.
+    The primary is the first live member at or after the file's slot, round the ring; the replicas are the next members
+    of the ring, of which dead ones are skipped and not replaced. All files of a slot lie on the same nodes, so only the
+    SLOTS places are worked out, from a few members of each slot, and files look theirs up.
     """
-    ring = F.sort_array(F.collect_list(F.struct("slot", "addr", "alive")))
-    f = files.crossJoin(F.broadcast(members.agg(ring.alias("_ring"))))
-    live = F.filter("_ring", lambda m: m["alive"])
-    first = F.coalesce(F.get(F.filter(live, lambda m: m["slot"] >= F.col("slot")), F.lit(0)), F.get(live, F.lit(0)))
-    f = f.withColumn("_p", first).where(F.col("_p").isNotNull())
-    f = f.withColumn("_i", F.array_position("_ring", F.col("_p")).cast("int") - 1)
-    f = f.select("name", "_ring", "_i", F.explode(F.sequence(F.lit(0), F.least(F.lit(replicas), F.size("_ring")) - 1)).alias("rank"))
-    f = f.withColumn("_m", F.get("_ring", (F.col("_i") + F.col("rank")) % F.size("_ring")))
-    return f.where(F.col("_m")["alive"]).select("name", "rank", F.col("_m")["addr"].alias("addr"))
+    live = members.where("alive").groupBy("slot").agg(F.min("addr").alias("_live"))
+    tails = _heads(members.join(F.broadcast(live), "slot").where(F.col("addr") >= F.col("_live")), replicas).withColumnRenamed("heads", "tail")
+    ring = _ring(_heads(members, replicas).join(tails, "slot", "left"), "tail").crossJoin(members.agg(F.count("*").alias("_n")))
+    at = members.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).crossJoin(ring)
+    able = F.filter("ring", lambda m: m["tail"].isNotNull())
+    at = at.withColumn("_p", F.coalesce(F.get(F.filter(able, lambda m: m["slot"] >= F.col("slot")), F.lit(0)), F.get(able, F.lit(0)))).where("_p is not null")
+    at = at.withColumn("_i", F.array_position(F.transform("ring", lambda m: m["slot"]), F.col("_p")["slot"]) - 1)
+    nodes = F.slice(F.concat(F.col("_p")["tail"], _onward(F.col("_i"))), F.lit(1), F.least(F.lit(replicas), "_n").cast("int"))
+    at = at.select("slot", F.posexplode(nodes).alias("rank", "_m")).where("_m.alive").select("slot", "rank", "_m.addr")
+    return files.join(F.broadcast(at), "slot").select("name", "rank", "addr")
 
 
 def in_range(x: Column, start: Column, end: Column) -> Column:
@@ -31,13 +53,16 @@ def in_range(x: Column, start: Column, end: Column) -> Column:
 
 
 def successors(members: DataFrame, n: int) -> DataFrame:
-    """For each live member its next n - 1 live members round the ring."""
+    """For each live member its next n - 1 live members round the ring: those of its slot, then the next slots' first ones."""
     live = members.where("alive")
-    ring = F.sort_array(F.collect_list(F.struct("slot", "addr")))
-    f = live.crossJoin(F.broadcast(live.agg(ring.alias("_r"))))
-    f = f.withColumn("_i", F.array_position("_r", F.struct("slot", "addr")).cast("int") - 1)
-    f = f.withColumn("_k", F.least(F.lit(n), F.size("_r")) - 1).where("_k > 0")
-    return f.select("addr", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("rank"), "_r", "_i").select("addr", "rank", F.get("_r", (F.col("_i") + F.col("rank")) % F.size("_r"))["addr"].alias("next"))
+    ring = _ring(_heads(live, n)).crossJoin(live.agg(F.count("*").alias("_n")))
+    after = ring.select("ring", "_n", F.posexplode(F.transform("ring", lambda m: m["slot"])).alias("_i", "slot"))
+    after = after.select("slot", F.least(F.lit(n), "_n").cast("int").alias("_k"), F.slice(F.transform(_onward(F.col("_i")), lambda m: m["addr"]), 1, n).alias("_after"))
+    w = W.partitionBy("slot").orderBy("addr")
+    own = live.withColumn("_own", F.array_compact(F.array(*[F.lead("addr", k).over(w) for k in range(1, n)]).cast("array<string>")))
+    own = own.join(F.broadcast(after), "slot").where("_k > 1")
+    found = own.select("addr", F.posexplode(F.slice(F.concat("_own", "_after"), F.lit(1), F.col("_k") - 1)).alias("_i", "next"))
+    return found.select("addr", (F.col("_i") + 1).alias("rank"), "next")
 
 
 def append_order(appends: DataFrame) -> DataFrame:

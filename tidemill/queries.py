@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from .functions.csvcells import cells, first_cells
 from .functions.hashing import content_hash, fnv1a32, ring_slot
-from .operators.core import dedup, filter_lines, final_count, running_count, running_count_salted, transform_lines
+from .operators.core import dedup, filter_lines, final_count, running_count, transform_lines
 from .operators.external import external
 from .plans import control, store
-from .plans.pipeline import chain
+from .plans.pipeline import chain, plan_batch
 from .jobspec import parse_job
 from .session import shared_dir
-from .sources.lines import numbered
+from .sources.lines import numbered, read_lines
 from .sources.sinks import json_line, key_value, write_lines
 from .streaming.runner import start
 from .streaming.state import running_count_stream
@@ -141,7 +141,7 @@ def csv_cells(spark, sf):
 @query("SELECT 'e' || event_id AS \"ID\", event_type AS \"Key\", cast(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS VARCHAR) AS \"Value\" FROM events")
 def running_count_by_type(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("ID"), F.col("event_type").alias("Key"), "event_id")
-    return running_count_salted(e, "event_id", 100_000).select(*_ROW)
+    return running_count(e, "event_id").select(*_ROW)
 
 
 @query("SELECT event_type AS \"Key\", cast(count(*) AS VARCHAR) AS \"Value\" FROM events GROUP BY event_type")
@@ -151,14 +151,32 @@ def final_count_by_type(spark, sf):
 
 @query(_FLAG)
 def pipeline_filter_aggregate(spark, sf):
-    job = parse_job("RainStorm 2 3 filter::r aggregate::2 events.csv out.json true false 100 30 40")
-    df = chain(event_lines(spark, sf), type(job)(**(job.__dict__ | {"ops": job.ops[:1]})))
-    return running_count_salted(df, "event_id", 100_000).select(*_ROW)
+    job = parse_job("submit 2 3 filter::r aggregate::2 events.csv out.json true false 100 30 40")
+    return chain(event_lines(spark, sf), job).select(*_ROW)
 
 
-@query(f"WITH {_EV} SELECT k AS \"Key\", '1' AS \"Value\" FROM ev")
+@query(_FLAG.replace("[2]", "[3]").replace("'r'", "'ew'"))
+def job_paths(spark, sf):
+    """Stages named by paths, quotes round a pattern, and the column moving from the count to the filter."""
+    job = parse_job('submit 2 3 "./bin/filter/filter::ew" ./bin/aggregate/aggregate::3 events.csv out.json true false 100 30 40')
+    return chain(event_lines(spark, sf), job).select(*_ROW)
+
+
+@query(_FLAG.replace('id AS "ID"', "event_id").replace('"Value" FROM f', '"Value" FROM f'))
+def plan_batch_job(spark, sf):
+    """The lines as text files, read and counted as a job in a batch; each line's number in its file orders it."""
+    top = f"{shared_dir(spark)}/in"
+    event_lines(spark, sf).orderBy("event_id").select("Value").write.text(top)
+    job = parse_job(f"submit 2 3 filter::r aggregate::2 {top} out true false 0 30 40")
+    lines = read_lines(spark, top).select("ID", F.get(cells("Value"), F.lit(0)).cast("bigint").alias("event_id"))
+    return plan_batch(spark, job).join(lines, "ID").select("event_id", "Key", "Value")
+
+
+@query("SELECT event_type AS \"Key\", cast(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS VARCHAR) AS \"Value\", 'leader-events.csv-' || event_id AS \"ID\" FROM events")
 def pipeline_transform_aggregate(spark, sf):
-    return key_value(running_count(transform_lines(event_lines(spark, sf)), "event_id"))
+    """The keys are as the source has them, here the type, since transform leaves them alone."""
+    e = event_lines(spark, sf).withColumn("Key", F.get(cells("Value"), F.lit(1)))
+    return chain(e, parse_job("submit 2 3 transform aggregate in out true false 0 30 40")).select(*_ROW)
 
 
 @query(f"""WITH {_EV}, f AS (SELECT event_id, ({_cells('v')})[3] AS k FROM ev WHERE contains(v, 'a')), t AS (SELECT event_id, k FROM f WHERE k IS NOT NULL)
@@ -217,9 +235,20 @@ def wal_merge(spark, sf):
     return control.wal_pending(control.wal_merge(_wal(spark, sf), _wal(spark, sf, 1)))
 
 
-@query(f"WITH l AS ({_wal_sql()}) SELECT count(*) FILTER (type = 'REC') AS received, count(*) FILTER (type = 'SENT') AS sent, count(*) FILTER (type = 'ACK') AS acked FROM l")
+@query(f"WITH l AS ({_wal_sql()}) SELECT count(*) FILTER (type = 'REC') AS received, count(*) FILTER (type = 'SENT') AS sent, count(*) FILTER (type = 'ACK') AS acked, (SELECT count(*) FROM (SELECT arg_max(seq, seq) AS seq FROM l WHERE type = 'REC' GROUP BY tuple_id) WHERE seq % 4 <> 0) AS unprocessed FROM l")
 def delivery_stats(spark, sf):
-    return control.delivery_stats(_wal(spark, sf))
+    done = F.when(F.col("seq") % 4 == 0, "true").otherwise("false")
+    return control.delivery_stats(_wal(spark, sf).withColumn("payload", F.concat(F.lit('{"Processed":'), done, F.lit("}"))))
+
+
+@query("""SELECT 'vm' || (user_id % 7) AS node, event_id // 50 // 2 AS slice, cast(coalesce(sum(octet_length(encode(props))) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS bytes_in,
+  cast(coalesce(sum(octet_length(encode(props))) FILTER (event_id % 3 <> 0), 0) AS BIGINT) AS bytes_out, coalesce(sum(octet_length(encode(props))) FILTER (event_id % 3 = 0), 0) / 2.0::DOUBLE AS rate_in,
+  coalesce(sum(octet_length(encode(props))) FILTER (event_id % 3 <> 0), 0) / 2.0::DOUBLE AS rate_out FROM events GROUP BY 1, 2""")
+def bandwidth(spark, sf):
+    """Bytes a node took in and gave out in each two seconds, 50 events a second."""
+    way = F.when(F.col("event_id") % 3 == 0, "in").otherwise("out")
+    m = table(spark, sf, "events").select(F.concat(F.lit("vm"), (F.col("user_id") % 7).cast("string")).alias("node"), F.floor(F.col("event_id") / 50).alias("t"), way.alias("direction"), F.octet_length("props").cast("bigint").alias("bytes"))
+    return control.bandwidth(m, 2.0)
 
 
 def _metrics(spark, sf) -> DataFrame:
@@ -231,7 +260,7 @@ def _metrics(spark, sf) -> DataFrame:
 _METRICS = "m AS (SELECT cast(user_id % 3 AS INTEGER) AS stage, cast(user_id // 3 % 4 AS INTEGER) AS task, event_id // 500 * 2 AS t, count(*) AS received FROM events GROUP BY 1, 2, 3)"
 _RATE = f"""{_METRICS}, d AS (SELECT *, received - lag(received) OVER w AS d, t - lag(t) OVER w AS dt FROM m WINDOW w AS (PARTITION BY stage, task ORDER BY t)),
   r AS (SELECT stage, task, t, received, CASE WHEN d IS NULL OR dt <= 0 THEN received / 2.0::DOUBLE WHEN d < 0 THEN received / dt::DOUBLE ELSE d / dt::DOUBLE END AS rate FROM d)"""
-_STAGES = f"{_RATE}, s AS (SELECT stage, sum(rate) AS rate, count(*) AS tasks, sum(rate) / count(*) AS avg_rate FROM r WHERE t = 4 GROUP BY stage)"
+_STAGES = f"{_RATE}, s AS (SELECT stage, t, sum(rate) AS rate, count(*) AS tasks, sum(rate) / count(*) AS avg_rate FROM r GROUP BY stage, t)"
 
 
 @query(f"WITH {_RATE} SELECT stage, task, t, received, rate FROM r")
@@ -239,14 +268,14 @@ def stage_throughput(spark, sf):
     return control.throughput(_metrics(spark, sf))
 
 
-@query(f"WITH {_STAGES} SELECT stage, rate, tasks, avg_rate FROM s")
+@query(f"WITH {_STAGES} SELECT stage, t, rate, tasks, avg_rate FROM s")
 def stage_rates(spark, sf):
-    return control.stage_rates(control.throughput(_metrics(spark, sf)).where("t = 4"))
+    return control.stage_rates(control.throughput(_metrics(spark, sf)))
 
 
-@query(f"WITH {_STAGES} SELECT stage, tasks, CASE WHEN avg_rate < 5 AND tasks > 1 THEN -1 WHEN avg_rate > 9 THEN 1 ELSE 0 END AS delta FROM s")
+@query(f"WITH {_STAGES} SELECT stage, t, tasks, CASE WHEN avg_rate < 5 AND tasks > 1 THEN -1 WHEN avg_rate > 9 THEN 1 ELSE 0 END AS delta FROM s")
 def autoscale_decision(spark, sf):
-    return control.scale_decision(control.stage_rates(control.throughput(_metrics(spark, sf)).where("t = 4")), 5, 9).select("stage", "tasks", "delta")
+    return control.scale_decision(control.stage_rates(control.throughput(_metrics(spark, sf))), 5, 9).select("stage", "t", "tasks", "delta")
 
 
 @query("SELECT cast(a.s AS INTEGER) AS from_stage, cast(x.t AS INTEGER) AS from_task, cast(a.s + 1 AS INTEGER) AS to_stage, cast(y.t AS INTEGER) AS to_task FROM range(3) a(s), range(4) x(t), range(4) y(t)")
@@ -269,20 +298,20 @@ def route_order(spark, sf):
 def rate_schedule(spark, sf):
     """The second in which each line leaves a source of 100 lines a second."""
     e = table(spark, sf, "events").select("event_id", F.lit("all").alias("Key"))
-    return running_count_salted(e, "event_id", 100_000).select("event_id", F.floor((F.col("Value").cast("bigint") - 1) / 100).alias("second"))
+    return running_count(e, "event_id").select("event_id", F.floor((F.col("Value").cast("bigint") - 1) / 100).alias("second"))
 
 
 def _members(spark, sf) -> DataFrame:
-    s = table(spark, sf, "supplier").where("s_suppkey <= 10").select(F.concat(F.lit("vm"), F.col("s_suppkey").cast("string"), F.lit(":8080")).alias("addr"), (F.col("s_suppkey") % 4 != 0).alias("alive"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("vm"), F.col("s_suppkey").cast("string"), F.lit(":8080")).alias("addr"), (F.col("s_suppkey") % 4 != 0).alias("alive"))
     return s.select("addr", ring_slot("addr").alias("slot"), "alive")
 
 
-_RING = "m AS (SELECT 'vm' || s_suppkey || ':8080' AS addr, cast(('0x' || right(sha1('vm' || s_suppkey || ':8080'), 2)) AS INTEGER) AS slot, s_suppkey % 4 <> 0 AS alive FROM supplier WHERE s_suppkey <= 10)"
+_RING = "m AS (SELECT 'vm' || s_suppkey || ':8080' AS addr, cast(('0x' || right(sha1('vm' || s_suppkey || ':8080'), 2)) AS INTEGER) AS slot, s_suppkey % 4 <> 0 AS alive FROM supplier)"
 
 
 @query(f"""WITH {_RING}, o AS (SELECT *, row_number() OVER (ORDER BY slot, addr) - 1 AS i, count(*) OVER () AS n FROM m),
   f AS (SELECT p_name || p_partkey AS name, cast(('0x' || right(sha1(p_name || p_partkey), 2)) AS INTEGER) AS slot FROM part),
-  p AS (SELECT f.name, arg_min(o.i, (CASE WHEN o.slot >= f.slot THEN 0 ELSE 1000 END) + o.i) AS i FROM f, o WHERE o.alive GROUP BY f.name)
+  p AS (SELECT f.name, arg_min(o.i, (CASE WHEN o.slot >= f.slot THEN 0 ELSE 1000000000 END) + o.i) AS i FROM f, o WHERE o.alive GROUP BY f.name)
   SELECT p.name, cast(r.k AS INTEGER) AS rank, o.addr FROM p, range(3) r(k), o WHERE o.i = (p.i + r.k) % o.n AND r.k < o.n AND o.alive""")
 def ring_placement(spark, sf):
     name = F.concat("p_name", F.col("p_partkey").cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,12 +26,33 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     return spark
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) by which Spark itself reaches a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; it goes when the driver ends.
+
+    Where that is unset, a local one does for a session whose driver is its only executor; any other has to name a folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tidemill")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    top = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    fs, p = hadoop_path(spark, top)
+    fs.mkdirs(p)  # what isn't there yet can't be marked
+    fs.deleteOnExit(p)
+    return top
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
 
 
 def checkpointed(df):

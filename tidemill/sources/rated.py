@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import time
 
+import pyarrow.fs
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+#: Lines of a batch, at most.
+MOST = 100_000
+
 
 class RatedLines(DataSource):
-    """Options: path (a local text file that the driver reads), rate (lines a second; 0: no limit)."""
+    """Options: path (a text file or a folder of them; local or a URI that pyarrow opens), rate (lines a second; 0: no limit)."""
 
     @classmethod
     def name(cls) -> str:
@@ -25,30 +30,51 @@ class RatedLines(DataSource):
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    """The allowance counts from the offset at (re)start, so a restart neither bursts nor stalls."""
+    """An offset is the file's name, its lines and bytes so far, and the lines of all files.
+
+    The allowance counts from the offset at (re)start, so a restart neither bursts nor stalls.
+    """
 
     def __init__(self, path: str, rate: int):
         self.path, self.rate, self.began, self.base = path, rate, None, 0
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"line": 0}
-
-    def _rows(self, start: int, end: int | None):
-        name, rows = self.path.rsplit("/", 1)[-1], []
-        with open(self.path, encoding="utf-8", newline="\n") as f:
-            for n, line in enumerate(f, 1):
-                if end is not None and n > end:
-                    break
-                if n > start:
-                    rows.append((f"leader-{name}-{n}", f"{name}:{n}", line.removesuffix("\n").removesuffix("\r")))
-        return rows
+        return {"file": "", "line": 0, "byte": 0, "all": 0}
+
+    def _files(self):
+        fs, top = pyarrow.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pyarrow.fs.LocalFileSystem(), self.path)
+        info = fs.get_file_info(top)
+        if info.type == pyarrow.fs.FileType.Directory:
+            inside = fs.get_file_info(pyarrow.fs.FileSelector(top))
+            return fs, sorted(f.path for f in inside if f.type == pyarrow.fs.FileType.File)
+        return fs, [top]
+
+    def _rows(self, start: dict, most: int) -> tuple[list, dict]:
+        """Up to so many lines from an offset on, and the offset after them."""
+        fs, files = self._files()
+        at, rows = dict(start), []
+        for path in files:
+            name = path.rsplit("/", 1)[-1]
+            if name < at["file"] or len(rows) >= most:
+                continue
+            if name > at["file"]:
+                at |= {"file": name, "line": 0, "byte": 0}
+            with fs.open_input_file(path) as f:
+                f.seek(at["byte"])
+                for raw in io.BufferedReader(f):
+                    if len(rows) >= most:
+                        break
+                    at = {"file": name, "line": at["line"] + 1, "byte": at["byte"] + len(raw), "all": at["all"] + 1}
+                    value = raw.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+                    rows.append((f"leader-{name}-{at['line']}", f"{name}:{at['line']}", value))
+        return rows, at
 
     def read(self, start: dict):
         if self.began is None:
-            self.began, self.base = time.monotonic(), start["line"]
-        end = None if not self.rate else self.base + int((time.monotonic() - self.began) * self.rate)
-        rows = self._rows(start["line"], end)
-        return iter(rows), {"line": start["line"] + len(rows)}
+            self.began, self.base = time.monotonic(), start["all"]
+        due = MOST if not self.rate else self.base + int((time.monotonic() - self.began) * self.rate) - start["all"]
+        rows, at = self._rows(start, min(MOST, due))
+        return iter(rows), at
 
     def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        return iter(self._rows(start["line"], end["line"]))
+        return iter(self._rows(start, end["all"] - start["all"])[0])
