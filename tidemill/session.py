@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -55,6 +57,21 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+# Fixed value: Spark's setting by which a query's shuffle files go when it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go as soon as it has written what it makes, and not when the driver collects its garbage."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def checkpointed(df):
     """df, cut from its lineage by files in the shared folder; survives the loss of executors."""
     sc = df.sparkSession.sparkContext
