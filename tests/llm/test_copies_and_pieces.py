@@ -82,12 +82,25 @@ def test_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one\ttwo "), (6, "one two three"), (8, "É a b c d"), (7, "é a b c d"), (9, "a b c d e " * 30_000), (10, "A B c d e " * 29_000), (11, "a\xa0b c d e f"), (12, "x y z u v w"), (12, "x y z u v w"), (None, "one two"), (13, "x y z u v w"), (14, "p q r s t"), (14, "one two")]
     got = setsketch.group_documents(docs(spark, rows), 85).collect()
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id != 14}
-    assert by == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 7), 8: (1, 8), 9: (5, 9), 10: (5, 9), 11: (1, 11), 12: (2, 12), 13: (2, 12)}
-    assert len(got) == 16 and setsketch.group_documents(docs(spark, rows).limit(0)).count() == 0
+    assert by == {None: (1, 4), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 7), 8: (1, 8), 9: (5, 9), 10: (5, 9), 11: (1, 11), 12: (2, 12), 13: (2, 12)}
+    assert len(got) == 17 and setsketch.group_documents(docs(spark, rows).limit(0)).count() == 0
     kept = setsketch.drop_near_copies(docs(spark, rows[:13]))
     assert kept.columns == docs(spark, rows).columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 11, 12]
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows are documents of their own; ids only name groups."""
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "A1 B1 C1 D1 E1 F1 G1 H1 I1 J1 K1 L1 M1 N1 O1 P1 Q1 R1 S1 T1 U1 V1 W1 X1 Y1 Z1 a2 b2 c2 d2"
+    rows = [(5, a), (5, b), (6, b + " e2"), (7, b + " e2"), (None, b), (None, "x y z"), (None, "x y z"), (None, None), (9, ""), (9, ""), (3, a + " u"), (3, a + " u"), (4, a + " u")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.group_documents(docs(spark, rows), 85).collect()), key=repr)
+    want = [(5, 16, 3, False), (5, 26, 5, True), (6, 27, 5, False), (7, 27, 5, False), (None, 26, 5, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (9, 0, 9, True), (9, 0, 9, True), (3, 17, 3, True), (3, 17, 3, True), (4, 17, 3, False)]
+    assert got == sorted(want, key=repr)
+    df = docs(spark, rows).selectExpr("*", "doc_id AS _x", "text AS _id")
+    kept = setsketch.drop_near_copies(df, 85)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, b), (None, "x y z"), (None, None), (9, ""), (9, ""), (3, a + " u")], key=repr)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (700, 300))

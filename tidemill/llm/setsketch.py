@@ -5,7 +5,7 @@ shorter text's whole sequence is its one shingle, and a text without words has n
 registers holds the truncated logarithm, to base B, of the least of as many exponential variates as the set has
 members: sketches of parts merge by the larger register, and registers of like sets are like.
 
-1. Documents with the same set, by 128 bits of digest, are one class; one of each, the smallest id, goes on.
+1. Documents with the same set, by 128 bits of digest, are one class, and classes go on; links tell them by 64 bits.
 2. Registers in bands of rows find who may be alike. The rows are chosen so that a pair at the threshold is missed with
    probability MISSED at most.
 3. In a band's bucket all are paired with one of them, first, not all with all. The pair's joint likelihood of its
@@ -16,11 +16,13 @@ members: sketches of parts merge by the larger register, and registers of like s
    or fewer each with each, in larger ones - crowds of copies that differ too much - by an exact prefix join, whose work
    doesn't grow with the square of a crowd. So no link between groups goes unseen.
 
-Nothing of size is collected. Hot keys: equal sets collapse before any join; joins on classes, hubs and buckets are salted,
-or of the kind that Spark splits. What is cut from its lineage is written to the shared folder.
+Nothing of size is collected. Hot keys: equal sets collapse before any join, and joins on buckets, hubs and classes are
+of two plain tables, which Spark splits where a key is hot. What is cut from its lineage is written to the shared folder
+and goes when it has been read.
 
-Null text is empty. Rows that repeat a doc_id each have their row; if their texts differ, only the one with the smallest
-set is compared with like ones, and the others are linked to equal ones alone. Null ids are dropped. The empty table gives the empty table. Other columns are left out.
+Null text is empty. Rows that repeat a doc_id are documents of their own, each with its text; so are rows with a null id,
+which count in their groups but name none: a group without ids has a null component_id, and its rows are kept. The empty
+table gives the empty table. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -35,10 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, shared_dir
+from ..session import checkpointed, discard, shared_dir, tidy
 from . import textscan
 
-WORDS, M, B, MISSED, SIGMAS, SALTS = 5, 256, 1.2, 1e-6, 6.0, 16
+WORDS, M, B, MISSED, SIGMAS = 5, 256, 1.2, 1e-6, 6.0
+#: Ids whose texts are wanted are sent to all tasks if they are so many at most, 16 bytes each; else texts meet them in a shuffle.
+SENT = 500_000
+#: Counters by which a crowd's shingles are put in order, rarest first.
+COUNTERS = 1 << 18
 #: Members of a bucket that are compared each with each; what larger ones hold is found by prefixes.
 SMALL = 24
 _rng = np.random.default_rng(7)
@@ -106,17 +112,18 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, x, text) -> (id, x, size of its set, digest of it, registers)."""
     for b in batches:
         for k in range(0, b.num_rows, 1024):
             part = b.slice(k, 1024)
-            n, d0, d1, regs = [], [], [], []
-            for _, s in sets(part.column(1)):
-                d = _digest(s)
+            n, c, d, regs = [], [], [], []
+            for _, s in sets(part.column(2)):
+                c_, d_ = _digest(s)
                 n.append(len(s))
-                d0.append(d[0])
-                d1.append(d[1])
+                c.append(c_)
+                d.append(d_)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(regs, pa.binary())], ["id", "n", "d0", "d1", "regs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(regs, pa.binary())], ["id", "x", "n", "c", "d", "regs"])
 
 
 def _bands(rows: int, bands: int):
@@ -128,8 +135,8 @@ def _bands(rows: int, bands: int):
                 key += np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
                 for k in range(rows):
                     key = textscan.mix(key ^ (r[:, :, k] + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D))
-            ids = np.repeat(b.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+            c = np.repeat(b.column(0).to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(c)], ["key", "c"])
 
     return run
 
@@ -155,22 +162,48 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, d0, text) -> (id, set) of texts whose set has that digest."""
+    """(c, text) -> (c, set) of texts, each class once in a task."""
+    met: set[int] = set()
     for b in batches:
         for k in range(0, b.num_rows, 1024):
             part = b.slice(k, 1024)
-            s = [x for _, x in sets(part.column(2))]
-            same = pa.array([_digest(x)[0] == d for x, d in zip(s, part.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "s"]).filter(same)
+            c = part.column(0).to_pylist()
+            new = [i for i, v in enumerate(c) if not (v in met or met.add(v))]
+            part = part.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for _, x in sets(part.column(1))], pa.binary())], ["c", "s"])
 
 
-def _set_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, set, comp) -> (shingle, id, size, comp)."""
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set) -> (counter, sum): a task's shingles by counter."""
+    sums = np.zeros(COUNTERS, np.int64)
     for b in batches:
-        for k in range(b.num_rows):
-            h = np.frombuffer(b.column(1)[k].as_buffer(), np.int64)
-            same = lambda v, n=len(h): pa.array(np.full(n, v, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h), same(b.column(0)[k].as_py()), same(len(h)), same(b.column(2)[k].as_py())], ["h", "id", "n", "comp"])
+        for k in range(0, b.num_rows, 256):
+            h = np.frombuffer(b"".join(b.column(0).slice(k, 256).to_pylist()), np.uint64)
+            sums += np.bincount((h & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["p", "n"])
+
+
+def _prefixes(counts, percent: int):
+    """(c, set, comp) -> (h, c, n, i, comp): the shingles at whose place i a common one may be the first of enough.
+
+    The order, by counter and hash, is the same for all sets. A counter of 1 is a shingle that no other set has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = counts.value
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                h = np.frombuffer(b.column(1)[k].as_buffer(), np.uint64)
+                c = many[h & np.uint64(COUNTERS - 1)]
+                order = np.lexsort((h, c))
+                i = np.flatnonzero((c[order] > 1) & (100 * (len(h) - np.arange(len(h))) >= percent * len(h)))
+                out.append((h[order[i]].view(np.int64), np.full(len(i), k), i, np.full(len(i), len(h))))
+            h, k, i, n = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(k)), pa.array(n), pa.array(i), b.column(2).take(pa.array(k))], ["h", "c", "n", "i", "comp"])
+
+    return run
 
 
 def _verify(percent: int):
@@ -186,12 +219,6 @@ def _verify(percent: int):
     return run
 
 
-def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """big join small on columns; rows of a key of big go to `salts` tasks by the column `by`, and small's to all of them."""
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(s, [*on, "_salt"], how).drop("_salt")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, comp), the smallest id that each end reaches; by large stars and small stars in turn.
 
@@ -228,132 +255,174 @@ class Search:
     """The steps over one table of documents; what they share is written once to the shared folder."""
 
     def __init__(self, docs: DataFrame, percent: int):
-        spark = docs.sparkSession
+        spark = self.spark = docs.sparkSession
         textscan.small_batches(spark)
         self.percent, (self.rows, self.bands) = percent, rows_of(percent)
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
-        top = shared_dir(spark)
-
-        def kept(df: DataFrame, name: str) -> DataFrame:
-            df.write.parquet(f"{top}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{top}/{name}")
-
-        self.sketches = kept(self.docs.mapInArrow(_sketch, "id bigint, n bigint, d0 bigint, d1 bigint, regs binary"), "sketches")
-        full = self.sketches.where("n > 0")
-        self.classes = full.groupBy("n", "d0", "d1").agg(F.min("id").alias("rep"), F.count("*").alias("many"))
+        self.top = shared_dir(spark)
+        self.docs = rows_of_documents(docs)
+        # a row's x is a hash of its id and text
+        self.sketches = self.kept(self.docs.mapInArrow(_sketch, "id bigint, x bigint, n bigint, c bigint, d bigint, regs binary"), "sketches")
         # one sketch of each class: equal sets have equal sketches
-        self.reps = full.groupBy("n", "d0", "d1").agg(F.min(F.struct("id", "regs")).alias("r")).select(F.col("r.id").alias("id"), "n", "d0", F.col("r.regs").alias("regs"))
-        one = self.reps.groupBy("id").agg(F.min(F.struct("n", "d0", "regs")).alias("r"))
-        self.reps = kept(one.select("id", "r.*"), "reps")
-        keys = self.reps.select("id", "regs").mapInArrow(_bands(self.rows, self.bands), "key bigint, id bigint")
-        shared = keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-        self.buckets = kept(salted(keys, shared, ["key"], "id", "inner"), "buckets")
-        self.kept = kept
-
-    def stars(self, comp: DataFrame | None) -> DataFrame:
-        """Pairs (a, b) of each bucket's members with one of them, of other groups only.
-
-        First that is the smallest id, then the most central: the one whose buckets have most members.
-        """
-        if comp is None:
-            hubs = self.buckets.groupBy("key").agg(F.min("id").alias("hub"))
-            d = salted(self.buckets, hubs, ["key"], "id", "inner").where("id <> hub")
-        else:
-            sizes = self.buckets.groupBy("key").agg(F.count("*").alias("_n"))
-            score = salted(self.buckets, sizes, ["key"], "id", "inner").groupBy("id").agg(F.sum("_n").alias("score"))
-            m = checkpointed(self.members(comp).join(score, "id"))
-            hubs = m.groupBy("key").agg(F.max(F.struct("score", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("key", "h.hub", "h.hub_comp")
-            d = salted(m, hubs, ["key"], "id", "inner").where("comp <> hub_comp")
-        return d.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-    def members(self, comp: DataFrame) -> DataFrame:
-        """(key, id, comp) of buckets that hold more than one group."""
-        m = salted(self.buckets, comp, ["id"], "key").withColumn("comp", F.coalesce("comp", "id"))
+        same = self.sketches.where("n > 0").groupBy("c", "d").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min("n").alias("n"), F.min("x").alias("x"), F.min("regs").alias("regs"))
+        self.classes = self.kept(same, "classes")
+        keys = self.classes.select("c", "regs").mapInArrow(_bands(self.rows, self.bands), "key bigint, c bigint")
+        shared = self.kept(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("hub")).where("members > 1"), "shared")
+        self.buckets = self.kept(keys.join(shared, "key"), "buckets")
+        self.drop("shared")
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.top}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, f"{self.top}/{name}")
+
+    def stars(self) -> DataFrame:
+        """Pairs (a, b) of each bucket's members with the least of them."""
+        return _pairs(self.buckets.where("c <> hub"), "c", "hub")
+
+    def central(self, comp: DataFrame) -> DataFrame:
+        """Pairs of each bucket's members with its most central one, whose buckets have most members, if of another group."""
+        score = self.buckets.groupBy("c").agg(F.sum("members").alias("score"))
+        m = self.kept(self.mixed(comp).join(score, "c"), "scored")
+        hubs = m.groupBy("key").agg(F.max(F.struct("score", F.col("c").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("key", "h.hub", "h.hub_comp")
+        d = m.join(self.kept(hubs, "hubs"), "key").where("comp <> hub_comp")
+        return _pairs(d, "c", "hub")
+
+    def mixed(self, comp: DataFrame) -> DataFrame:
+        """(key, c, comp, members) of buckets that hold more than one group."""
+        m = self.buckets.select("key", "c", "members").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         mixed = m.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z").select("key")
-        return salted(m, mixed, ["key"], "id", "inner")
+        return m.join(checkpointed(mixed), "key")
 
-    def across(self, comp: DataFrame, name: str) -> DataFrame:
+    def across(self, comp: DataFrame) -> DataFrame:
         """Pairs of members of one bucket in different groups: all of them in small buckets, and in others all that can be linked."""
-        m = checkpointed(self.members(comp))
-        sizes = m.groupBy("key").agg(F.count("*").alias("_n"))
-        m = checkpointed(salted(m, sizes, ["key"], "id", "inner"))
-        few = m.where(F.col("_n") <= SMALL)
-        o = few.select("key", F.col("id").alias("b"), F.col("comp").alias("_other"))
-        small = few.withColumnRenamed("id", "a").join(o, "key").where("a < b and comp <> _other").select("a", "b")
-        return small.unionByName(self.crowded(m.where(F.col("_n") > SMALL).select("id", "comp").distinct(), name)).distinct()
-
-    def crowded(self, ids: DataFrame, name: str) -> DataFrame:
-        """Pairs of ids (id, comp) across groups that may be linked, found by prefixes of their sets; exact.
-
-        Shingles are ordered by how many of these sets hold them, rarest first. Two sets with an overlap of `need` have a
-        first common shingle, at place i of one and j of the other, and hold no more than n - i and m - j from there on.
-        So only places go on from which enough can follow. To test a hot shingle's places pair by pair would take the
-        square of a crowd: places are tested against the earliest one of each set size first, and only those that pass
-        meet the sets of that size.
+        m = self.kept(self.mixed(comp), "mixed")
+        few = m.where(F.col("members") <= SMALL)
+        other = few.select("key", F.col("c").alias("b"), F.col("comp").alias("_other"))
+        small = few.withColumnRenamed("c", "a").join(other, "key").where("a < b and comp <> _other").select("a", "b")
+        return small.unionByName(self.crowded(m.where(F.col("members") > SMALL).select("c", "comp").distinct())).distinct()
+
+    def crowded(self, crowd: DataFrame) -> DataFrame:
+        """Pairs of a crowd (c, comp) across groups that may be linked, found by prefixes of their sets; exact.
+
+        Shingles are ordered by how many of these sets hold them, rarest first, as counters of hashes tell: any order does,
+        if it's the same for all. Two sets with an overlap of `need` have a first common shingle, at place i of one and j
+        of the other, and hold no more than n - i and m - j from there on. So only places go on from which enough can
+        follow. To test a hot shingle's places pair by pair would take the square of a crowd: places are tested against
+        the earliest one of each set size first, and only those that pass meet the sets of that size.
         """
         t = self.percent
-        rows = self.set_table(ids, name).join(ids, "id").mapInArrow(_set_members, "h bigint, id bigint, n bigint, comp bigint")
-        rows = self.kept(rows, f"members-{name}")
-        counts = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-        rows = salted(rows, counts, ["h"], "id").withColumn("df", F.coalesce("df", F.lit(1)))
-        rows = rows.withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("df", "h")) - 1)
-        rows = checkpointed(rows.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("i")) >= t * F.col("n"))))
-        early = rows.groupBy("h", F.col("n").alias("m")).agg(F.min("i").alias("j"), F.min("comp").alias("_a"), F.max("comp").alias("_z"))
+        crowd = self.kept(crowd, "crowd")
+        held = self.kept(self.set_table(crowd, "crowd").join(crowd, "c").select("c", "s", "comp"), "held")
+        sums = held.select("s").mapInArrow(_counters, "p int, n bigint").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(COUNTERS, np.int64)
+        counts[sums.column("p").to_numpy()] = sums.column("n").to_numpy()
+        rows = held.mapInArrow(_prefixes(self.spark.sparkContext.broadcast(counts), t), "h bigint, c bigint, n bigint, i bigint, comp bigint")
+        rows = self.kept(rows, "prefixes")
+        early = self.kept(rows.groupBy("h", F.col("n").alias("m")).agg(F.min("i").alias("j"), F.min("comp").alias("_a"), F.max("comp").alias("_z")), "early")
         # overlap >= percent of the union: (100 + percent) * overlap >= percent * (n + m)
         enough = lambda rest: (100 + t) * rest >= t * (F.col("n") + F.col("m"))
-        able = salted(rows, early, ["h"], "id", "inner").where(enough(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & ((F.col("_a") != F.col("comp")) | (F.col("_z") != F.col("comp"))))
-        able = able.select("h", "m", "n", "i", "comp", "id")
-        other = rows.select("h", F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("_other"), F.col("id").alias("_id"))
+        able = rows.join(early, "h").where(enough(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & ((F.col("_a") != F.col("comp")) | (F.col("_z") != F.col("comp"))))
+        able = able.select("h", "m", "n", "i", "comp", F.col("c").alias("_c"))
+        other = rows.select("h", F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("_other"), "c")
         found = able.join(other, ["h", "m"]).where((F.col("comp") != F.col("_other")) & enough(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))))
-        return found.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
+        return found.select(F.least("c", "_c").alias("a"), F.greatest("c", "_c").alias("b"))
 
-    def set_table(self, ids: DataFrame, name: str) -> DataFrame:
-        """(id, s) of ids (id): full sets, made from the texts; of an id's texts, that whose sketch stands for the id."""
-        want = ids.select("id").join(self.reps.select("id", "d0"), "id")
-        s = self.docs.join(want, "id").select("id", "d0", "text").mapInArrow(_set_rows, "id bigint, s binary").dropDuplicates(["id"])
-        return self.kept(s, f"sets-{name}")
+    def set_table(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(c, s) of classes (c): full sets, made from the texts again."""
+        w = self.kept(wanted.select("c").join(self.classes.select("c", "x"), "c"), f"wanted-{name}")
+        w = F.broadcast(w) if w.count() <= SENT else w
+        s = self.docs.select("x", "text").join(w, "x").select("c", "text").mapInArrow(_set_rows, "c bigint, s binary")
+        return self.kept(s.dropDuplicates(["c"]), f"sets-{name}")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of pairs (a, b) that are linked."""
-        r = self.reps.select("id", "n", "regs")
-        side = lambda c: r.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"))
+        r = self.classes.select("c", "n", "regs")
+        side = lambda v: r.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("regs").alias(f"r{v}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         likely = self.kept(sized.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_likely(self.percent), "a bigint, b bigint"), f"likely-{name}")
-        ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        s = self.set_table(ids, name)
-        both = likely.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return self.kept(both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a bigint, b bigint"), f"links-{name}")
+        ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
+        s = self.set_table(ends, name)
+        both = likely.join(s.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+        links = self.kept(both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a bigint, b bigint"), f"links-{name}")
+        self.drop(f"likely-{name}", f"wanted-{name}", f"sets-{name}")
+        return links
 
     def groups(self) -> DataFrame:
-        """(id, comp) of representatives that are linked with another."""
-        links = self.verified(self.stars(None), "0")
-        comp = checkpointed(components(links))
-        for step in ("central", "across"):
-            pairs = self.stars(comp) if step == "central" else self.across(comp, "crowd")
-            pairs = checkpointed(pairs.join(links, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                continue
-            more = self.verified(pairs, step)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                comp = checkpointed(components(links))
+        """(c, comp) of classes that are linked with another."""
+        links = self.verified(self.stars(), "stars")
+        comp = checkpointed(components(links).withColumnRenamed("id", "c"))
+        for name, step in (("central", self.central), ("across", self.across)):
+            pairs = self.kept(step(comp).join(links, ["a", "b"], "left_anti"), f"pairs-{name}")
+            if not pairs.isEmpty():
+                more = self.verified(pairs, name)
+                if not more.isEmpty():
+                    links = links.unionByName(more)
+                    comp = checkpointed(components(links).withColumnRenamed("id", "c"))
+            self.drop(f"pairs-{name}")
+        self.drop("buckets", "scored", "hubs", "mixed", "crowd", "wanted-crowd", "sets-crowd", "held", "prefixes", "early")
         return comp
 
+    def named(self) -> DataFrame:
+        """(c, d, root, component_id) of classes of more than one document or linked with another; component_id is null without ids."""
+        comp = self.groups()
+        of = self.classes.select("c", "d", "least", "many").join(comp, "c", "left").where("many > 1 or comp is not null")
+        of = self.kept(of.withColumn("root", F.coalesce("comp", "c")), "rooted")
+        least = self.kept(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        return self.kept(of.join(least, "root").select("c", "d", "root", "component_id"), "named")
 
-def group_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs (doc_id, text, ..) -> doc_id, n_shingles, component_id, kept."""
+
+def rows_of_documents(docs: DataFrame) -> DataFrame:
+    """(id, x, text): x is a hash of the id and the text."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("id", F.xxhash64("id", "text").alias("x"), "text")
+
+
+def _pairs(d: DataFrame, one: str, other: str) -> DataFrame:
+    return d.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """(id, x, n, component_id, root) of each row; root, of rows that may have company, tells groups apart."""
     if not 1 <= percent <= 100:
         raise ValueError("percent is 1 to 100")
-    f = Search(docs, percent)
-    comp = f.groups().select(F.col("id").alias("rep"), "comp")
-    named = f.classes.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).where("many > 1 or comp <> rep").select("n", "d0", "d1", "comp")
-    d = salted(f.sketches.select("id", "n", "d0", "d1"), named, ["n", "d0", "d1"], "id")
-    c = F.coalesce("comp", "id")
-    return d.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), c.alias("component_id"), (F.col("id") == c).alias("kept"))
+    with tidy(docs.sparkSession):
+        f = Search(docs, percent)
+        named = f.named()
+        return f.sketches.select("id", "x", "n", "c", "d").join(named, ["c", "d"], "left").select("id", "x", "n", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+
+
+def group_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs (doc_id, text, ..) -> doc_id, n_shingles, component_id, kept."""
+    g = _grouped(docs, percent)
+    return g.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents, that of the smallest doc_id, with all its columns as they are."""
-    g = group_documents(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(g, docs["doc_id"].cast("bigint") == g["_kept"], "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each group of linked documents, with all its columns as they are: that of the smallest doc_id.
+
+    Where rows of a group repeat that id, or none has one, it is the row whose id and text have the least hash; rows that
+    repeat id and text are one. Rows without words are linked with nothing and all stay.
+    """
+    with tidy(docs.sparkSession):
+        top = shared_dir(docs.sparkSession)
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{top}/{name}")
+            return docs.sparkSession.read.schema(df.schema).parquet(f"{top}/{name}")
+
+        rows = _grouped(docs, percent).where("root is not null").groupBy("root", "id", "x").agg(F.count("*").alias("many"))
+        rows = kept(rows, "rows")
+        first = kept(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("_none"), "id", "x", "many")).alias("f")).select("root", "f.x", "f.many"), "first")
+        others = kept(rows.join(first.where("many = 1"), ["root", "x"], "left_anti").select(F.col("id").alias("_id"), F.col("x").alias("_x")), "others")
+        again = first.where("many > 1").select(F.col("x").alias("_x"))
+        some = not again.isEmpty()
+    x = F.xxhash64(docs["doc_id"].cast("bigint"), F.coalesce(docs["text"], F.lit("")))
+    left = docs.join(others, (x == others["_x"]) & docs["doc_id"].cast("bigint").eqNullSafe(others["_id"]), "left_anti")
+    if not some:
+        return left
+    name = max(docs.columns, key=len) + "_"  # no column of docs is called so
+    one = docs.withColumn(name, x).join(again.withColumnRenamed("_x", name), name, "left_semi").dropDuplicates([name])
+    return left.unionByName(one.drop(name))
