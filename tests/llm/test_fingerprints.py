@@ -42,6 +42,46 @@ def test_edits_follow_the_next_document(spark):
     assert sum(r.near_edited for r in many) / len(many) > sum(r.near_next for r in many) / len(many) + 0.08
 
 
+def test_repeated_and_null_ids(spark):
+    """Each row comes back; its next document is that of the next larger id, whose least text counts."""
+    rows = [(1, "aa bb cc dd"), (1, "aa bb cc dd"), (1, "aa bb cc dd"), (2, "zz yy"), (2, "ee ff gg hh"), (5, None), (None, "no id here"), (None, "no id here"), (None, "")]
+    got = simhash.fingerprint_documents(docs(spark, rows), 3, F.col("doc_id") < 3).collect()
+    follow = {1: "ee ff gg hh", 2: "", 5: "aa bb cc dd", None: "aa bb cc dd"}
+    want = sorted((str(i), len(t or ""), hashlib.sha256(edited(t or "", follow[i]).encode()).hexdigest()) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
+    print_of = {r.n_chars: r.fingerprint for r in got if r.n_chars in (5, 11)}
+    bits = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    for r in got:
+        if r.doc_id == 1:
+            ahead = next(x.fingerprint for x in got if x.doc_id == 2 and x.edited_sha256 == hashlib.sha256(edited("ee ff gg hh", "").encode()).hexdigest())
+            assert r.near_next == 1 - bits(r.fingerprint, ahead) / 128 and r.near_edited == 1 - bits(r.fingerprint, r.edited_fingerprint) / 128
+        assert (r.neighbours == 0) if r.doc_id in (1, 2) else r.neighbours is None
+    assert len(print_of) == 2
+    lone = simhash.fingerprint_documents(docs(spark, [(None, "one two"), (None, "one two")])).collect()
+    assert [(r.n_chars, r.near_next) for r in lone] == [(7, None)] * 2
+
+
+def test_likeness_and_neighbours_are_brute_force(spark):
+    """All columns of a table's query from its fingerprints alone, compared each with each."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(120):
+        c = base[:]
+        for _ in range(rng.randrange(3)):
+            c[rng.randrange(400)] = f"w{rng.randrange(10**6)}"
+        rows.append((i * 5, " ".join(c)))
+    got = {r.doc_id: r for r in simhash.fingerprint_documents(docs(spark, rows), 3, F.col("doc_id") % 20 == 0).collect()}
+    fps = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    ids = sorted(got)
+    for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
+        assert got[i].near_next == 1 - (fps[i] ^ fps[j]).bit_count() / 128
+        assert got[i].near_edited == 1 - (fps[i] ^ int(got[i].edited_fingerprint, 16)).bit_count() / 128
+        near = sum(0 < (fps[i] ^ f).bit_count() <= 3 for f in set(fps.values()))
+        assert got[i].neighbours == (near if i % 20 == 0 else None)
+    assert sum(r.neighbours or 0 for r in got.values()) > 5
+
+
 def test_votes_by_hand(spark):
     df = spark.createDataFrame([(1, "aa bb aa c")], "i int, t string")
     f = simhash.fingerprints(df, ["i"], "t").first()
