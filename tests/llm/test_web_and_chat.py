@@ -126,6 +126,71 @@ def test_linking(spark):
     assert linked(spark, rows[:1])[0].status == "message" and linked(spark, []) == []
 
 
+def test_what_json_can_say_but_not_everyone_can_write(spark):
+    half, deep = '{"tool_calls":[{"id":"\\ud800x","name":"add","arguments":{"a":1,"\\udc00":"\\ud83d\\ude00"}}]}', "[" * 600 + "]" * 600
+    rows = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"add","arguments":{"a":1e999}}]}'), (1, 1, "assistant", half), (1, 2, "tool", '{"tool_call_id":"\\ud800x","content":"\\udfff"}'),
+        (1, 3, "tool", '{"tool_call_id":"b","content":-1e400}'), (1, 4, "tool", '{"tool_call_id":"b","content":NaN}'), (1, 5, "tool", f'{{"tool_call_id":"c","content":{deep}}}'), (1, 6, "tool", '{"tool_call_id":"d","content":' + "9" * 5000 + "}"),
+        (1, 7, "tool", json.dumps({"tool_call_id": "e", "content": "long " * 400_000})), (None, 8, "assistant", "x"), (2, None, None, None),
+    ]
+    by = {r.o_turn if r.conv_id == 1 else (r.conv_id, r.o_turn): r for r in linked(spark, rows)}
+    assert len(by) == 9 and by[0].status == by[3].status == by[4].status == by[6].status == "message"
+    assert by[1].call_id == "\ufffdx" and by[1].status == "linked" and json.loads(by[1].json) == {"id": "\ufffdx", "name": "add", "arguments": {"a": 1, "\ufffd": "\U0001f600"}, "result": "\ufffd", "role": "assistant"}
+    assert by[5].status in ("message", "orphan") and by[7].status == "orphan" and len(by[7].json) == 2_000_002
+    assert by[None, 8].status == by[2, None].status == "unplaced" and json.loads(by[2, None].json) == {"content": "", "role": "user"}
+
+
+def plain_places(deps, turn):
+    """Places by recursion; calls on a cycle keep theirs."""
+    def reach(a):
+        seen, todo = set(), list(deps[a])
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += deps[x]
+        return seen
+
+    cycle = {a for a in deps if a in reach(a)}
+    at = {a: (turn[a], 0) for a in cycle}
+
+    def place(a):
+        if a not in at:
+            t, lv = max((place(d) for d in deps[a]), default=(-1, 0))
+            at[a] = (t, lv + 1) if t >= turn[a] else (turn[a], 0)
+        return at[a]
+
+    return {a: (*place(a), a in cycle) for a in deps}
+
+
+def test_cycles_and_what_hangs_on_them(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for conv in range(25):
+        ids = [str(i) for i in range(10)]
+        turn = {i: rng.randrange(6) for i in ids}
+        deps = {i: sorted({rng.choice(ids) for _ in range(rng.choice((0, 1, 1, 2)))}) for i in ids}
+        want |= {(conv, i): p for i, p in plain_places(deps, turn).items()}
+        for t in range(6):
+            rows.append((conv, t, "assistant", say(*(call(i, depends=deps[i], a=1) for i in ids if turn[i] == t))))
+    got = {(r.conv_id, r.call_id): (r.o_turn, r.o_level, r.status == "cycle") for r in linked(spark, rows) if r.kind == "call"}
+    # a call between two cycles counts as on one
+    assert {k for k in want if want[k][2]} <= {k for k in got if got[k][2]}
+    sure = {c for c, _ in want} - {c for (c, i) in want if got[c, i][2] != want[c, i][2]}
+    assert len(sure) > 15 and all(got[k] == want[k] for k in want if k[0] in sure)
+
+
+def test_rounds_are_as_many_as_the_longest_chain(spark, monkeypatch):
+    many = []
+    monkeypatch.setattr(chat, "checkpointed", lambda d, f=chat.checkpointed: many.append(1) or f(d))
+    rows = [(c, t, "assistant", say(call(f"c{t}", depends=[f"c{t + 1}"] if t % 2 == 0 else [f"c{t - 2}"] if t > 1 and c else [], a=1))) for c in range(2) for t in range(40)]
+    rows += [(2 + i, 0, "assistant", say(call("a", depends=["b"], a=1), call("b", a=1))) for i in range(200)]
+    linked(spark, rows[40:])
+    deep = len(many)
+    many.clear()
+    linked(spark, [*rows[:40], *rows[80:], (999, 0, "assistant", say(call("x", depends=["x"], a=1)))])
+    assert len(many) <= 16 and deep <= 2 * 40 + 16
+
+
 def test_order_is_topological(spark):
     rng = random.Random(2)
     rows, deps = [], {}

@@ -7,26 +7,32 @@ gathered in one task, so one that holds a third of the rows is no trouble.
 
 Order: (o_turn, o_level, o_index) sorts each conversation topologically. A call stands at its own turn unless one of
 the calls that it depends on stands at that turn or later; then it moves to the latest of those, a level further. Only
-such calls are looked at again, round by round, until none moves; calls on a cycle keep their turn with the status
-`cycle`. A result stands a level after its call, or at its own turn if that's later.
-
-Defined cases: null text is empty; null role is `user`; rows with a null conv_id or turn are dropped; rows that repeat
-one entirely count once; of calls with one id in a conversation the first by turn and place counts, later ones have
-the status `duplicate`; of results likewise; a result without a call is an `orphan`; a call without a result is
-`unanswered`; dependencies on unknown ids are noted as errors.
+between the first and the last turn of such backward dependencies can a conversation's calls move or stand on a cycle.
+There, calls are placed once all they depend on are, round by round, as many rounds as the longest chain there; no
+round can place a call on a cycle. Of those that are left, whom none of the others waits for isn't on a cycle and is placed
+after it; the others keep their turn, with the status `cycle`. A result stands a level after its call, or at its own turn if that's later.
+
+Defined cases: null text is empty; null role is `user`; rows with a null conv_id or turn can't be ordered and come back as
+messages with the status `unplaced`; rows that repeat one entirely count once; of calls with one id in a conversation the
+first by turn and place counts, later ones have the status `duplicate`; of results likewise; a result without a call is an
+`orphan`; a call without a result is `unanswered`; dependencies on unknown ids are noted as errors. Text that isn't JSON, or
+has numbers beyond a double's range or deeper levels than can be read, is plain content; in JSON's strings, halves of
+surrogate pairs become U+FFFD. Texts may be of any length: each is read by itself.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, tidy
 
 PARTS = "conv_id bigint, turn bigint, o_index bigint, kind string, call_id string, name string, body string, error string, depends array<string>"
 
@@ -78,14 +84,39 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def _finite(text: str) -> float:
+    v = float(text)
+    if not math.isfinite(v):
+        raise ValueError(text)
+    return v
+
+
+def _whole(v):
+    """v without halves of surrogate pairs, which UTF-8 can't say."""
+    if isinstance(v, str):
+        return _HALF.sub("\ufffd", v)
+    if isinstance(v, dict):
+        return {_whole(k): _whole(x) for k, x in v.items()}
+    return [_whole(x) for x in v] if isinstance(v, list) else v
+
+
+def _refuse(constant: str):
+    raise ValueError(constant)
+
+
 def _object(text: str) -> dict | None:
     if not text.lstrip().startswith("{"):
         return None
     try:
-        v = json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        v = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+        v = _whole(v) if isinstance(v, dict) else None
+        canonical(v)  # levels that can be read but not written
+        return v
     except (ValueError, RecursionError):
         return None
-    return v if isinstance(v, dict) else None
 
 
 def parts_of(conv: int, turn: int, role: str, text: str, schemas: dict[str, dict]) -> list[tuple]:
@@ -122,34 +153,72 @@ def parts(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return m.where("conv_id is not null and turn is not null").distinct().mapInPandas(run, PARTS)
 
 
+def _unplaced(messages: DataFrame) -> DataFrame:
+    """Rows of PARTS of the messages that have no place."""
+    role, text = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
+    m = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("content"))
+    m = m.where("conv_id is null or turn is null").distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    return m.select("conv_id", "turn", F.lit(0).cast("bigint").alias("o_index"), F.lit("message").alias("kind"), none("string").alias("call_id"), none("string").alias("name"), F.to_json(F.struct("content", "role")).alias("body"), F.lit("no place").alias("error"), none("array<string>").alias("depends"))
+
+
 def _first(df: DataFrame) -> DataFrame:
     """Adds dup: whether an earlier row has the same conv_id and call_id."""
     key = df.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "o_index", "body")).alias("_f"))
     return df.join(key, ["conv_id", "call_id"]).withColumn("dup", F.struct("turn", "o_index", "body") != F.col("_f")).drop("_f")
 
 
+_ON = ["conv_id", "on"]
+_CALL = ["conv_id", "call_id"]
+
+
+def _peel(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """edges (conv_id, call_id, turn, on, on_turn, t, l), t and l null where the call `on` isn't placed yet -> (places, edges left)."""
+    done = []
+    while True:
+        ready = edges.groupBy(*_CALL, "turn").agg(F.count_if(F.col("t").isNull()).alias("_wait"), F.max(F.struct("t", "l")).alias("d")).where("_wait = 0")
+        later = F.col("d.t") >= F.col("turn")
+        new = checkpointed(ready.select(*_CALL, F.when(later, F.col("d.t")).otherwise(F.col("turn")).alias("o_turn"), F.when(later, F.col("d.l") + 1).otherwise(0).cast("bigint").alias("o_level")))
+        if new.isEmpty():
+            return done, edges
+        done.append(new)
+        if len(done) % 16 == 0:  # a plan of bounded size
+            done = [checkpointed(reduce(DataFrame.unionByName, done))]
+        edges = checkpointed(_filled(edges.join(new, _CALL, "left_anti"), new))
+
+
+def _filled(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    at = placed.select("conv_id", F.col("call_id").alias("on"), F.col("o_turn").alias("_t"), F.col("o_level").alias("_l"))
+    return edges.join(at, _ON, "left").withColumns({"t": F.coalesce("t", "_t"), "l": F.coalesce("l", "_l")}).drop("_t", "_l")
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """calls (conv_id, call_id, turn, depends) -> conv_id, call_id, o_turn, o_level, cycle for those that move."""
-    base = calls.select("conv_id", "call_id", "turn")
-    edges = calls.select("conv_id", "call_id", "turn", F.explode("depends").alias("on"))
-    known = base.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
-    edges = checkpointed(edges.join(known, ["conv_id", "on"]))
-    late = edges.where("on_turn >= turn").select("conv_id", "call_id").distinct()
-    # what depends on a call that moves may have to move too
-    place = checkpointed(late.join(base, ["conv_id", "call_id"]).select("conv_id", "call_id", F.col("turn").alias("o_turn"), F.lit(0).cast("bigint").alias("o_level"), F.lit(False).alias("cycle")))
-    rounds, most = 0, place.count() + 1
-    while rounds <= most:
-        on = place.select("conv_id", F.col("call_id").alias("on"), "o_turn", "o_level")
-        at = edges.join(on, ["conv_id", "on"], "left").select("conv_id", "call_id", "turn", F.struct(F.coalesce("o_turn", "on_turn").alias("t"), F.coalesce("o_level", F.lit(0)).cast("bigint").alias("l")).alias("d"))
-        need = at.groupBy("conv_id", "call_id", "turn").agg(F.max("d").alias("d")).where(F.col("d.t") >= F.col("turn"))
-        new = need.select("conv_id", "call_id", F.col("d.t").alias("o_turn"), (F.col("d.l") + 1).alias("o_level"), F.lit(False).alias("cycle"))
-        new = checkpointed(new)
-        moved = new.join(place, ["conv_id", "call_id", "o_turn", "o_level"], "left_anti").limit(1).count()
-        place, rounds, most = new, rounds + 1, max(most, new.count() + 1)
-        if not moved:
-            return place
-    # more rounds than calls that move: who has climbed that high stands on a cycle or after one
-    return place.withColumn("cycle", F.col("o_level") > most - 1)
+    """calls (conv_id, call_id, turn, depends) -> conv_id, call_id, o_turn, o_level, cycle for those that may move."""
+    known = calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
+    edges = checkpointed(calls.select(*_CALL, "turn", F.explode("depends").alias("on")).join(known, _ON))
+    span = checkpointed(edges.where("on_turn >= turn").groupBy("conv_id").agg(F.min("turn").alias("_lo"), F.max("on_turn").alias("_hi")))
+    edges = edges.join(span, "conv_id").where("turn >= _lo and turn <= _hi and on_turn >= _lo").drop("_lo", "_hi")
+    edges = checkpointed(edges)
+    waits = edges.select("conv_id", F.col("call_id").alias("on")).distinct().withColumn("_w", F.lit(True))
+    free = F.col("_w").isNull()
+    edges = edges.join(waits, _ON, "left").withColumns({"t": F.when(free, F.col("on_turn")), "l": F.when(free, F.lit(0).cast("bigint"))}).drop("_w")
+    done, left = _peel(checkpointed(edges))
+    ring = left.where("t is null")
+    many = ring.count()
+    while many:  # who waits and is waited for
+        ring = checkpointed(ring.join(ring.select("conv_id", F.col("on").alias("call_id")).distinct(), _CALL, "left_semi"))
+        before, many = many, ring.count()
+        if before == many:
+            break
+    ring = ring.select(*_CALL, "turn").distinct().select(*_CALL, F.col("turn").alias("o_turn"), F.lit(0).cast("bigint").alias("o_level"))
+    if many:
+        ring = checkpointed(ring)
+        more, _ = _peel(checkpointed(_filled(left.join(ring, _CALL, "left_anti"), ring)))
+        done += more
+    out = ring.withColumn("cycle", F.lit(True))
+    for d in done:
+        out = out.unionByName(d.withColumn("cycle", F.lit(False)))
+    return out
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -157,6 +226,11 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
     One row for each message, call (with its result inside) and orphan.
     """
+    with tidy(messages.sparkSession):
+        return _link(messages, schemas)
+
+
+def _link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     p = checkpointed(parts(messages, schemas))
     named = _first(p.where("kind = 'call' and call_id is not null"))
     calls = named.where("not dup")
@@ -177,7 +251,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     def rest(d: DataFrame, status: str) -> DataFrame:
         return d.withColumns({"status": F.lit(status), "valid": F.col("error").isNull(), "json": F.col("body"), "o_turn": F.col("turn"), "o_level": F.lit(0).cast("bigint")})
 
-    out = [linked, rest(p.where("kind = 'message'"), "message"), rest(named.where("dup"), "duplicate"), rest(p.where("kind = 'call' and call_id is null"), "unnamed"), rest(results.where("dup"), "duplicate")]
+    out = [linked, rest(_unplaced(messages), "unplaced"), rest(p.where("kind = 'message'"), "message"), rest(named.where("dup"), "duplicate"), rest(p.where("kind = 'call' and call_id is null"), "unnamed"), rest(results.where("dup"), "duplicate")]
     lost = results.where("not dup").join(calls.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("error", F.coalesce("error", none))
     out.append(rest(lost, "orphan"))
     res = out[0].select(*cols)
