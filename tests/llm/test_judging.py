@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tidemill.llm import decontaminate as D
 from tidemill.llm import queries
@@ -147,6 +148,51 @@ def test_grammar():
     assert X.features("idiot. idiot. fine.", lex)[2] == 2
 
 
+def plain_weight(clause):
+    """The best reading of a clause by trying them all."""
+    best = 0.0
+
+    def go(i, at, modal, target, negation, report, total):
+        nonlocal best
+        if i == len(clause):
+            best = max(best, total)
+            return
+        place, symbol, weight = clause[i]
+        near = lambda since: since is not None and place - since <= X.REACH
+        if symbol in (X.TARGET, X.NEGATION, X.REPORT, X.MODAL):
+            now = {X.TARGET: target, X.NEGATION: negation, X.REPORT: report, X.MODAL: modal} | {symbol: place}
+            go(i + 1, place, now[X.MODAL], now[X.TARGET], now[X.NEGATION], now[X.REPORT], total)
+            return
+        go(i + 1, place, modal, target, negation, report, total)  # plain
+        if symbol == X.INSULT or near(modal):
+            w = weight * (X.FACTORS["negation"] if near(negation) else 1) * (X.FACTORS["report"] if near(report) else 1)
+            modal = None if symbol == X.VERB else modal
+            for use in (False, True):
+                if not use or near(target):
+                    go(i + 1, place, modal, None if use else target, None if near(negation) else negation, report, total + w * (X.FACTORS["target"] if use else 1))
+
+    go(0, -1, None, None, None, None, 0.0)
+    return best
+
+
+def test_shortest_paths_are_the_best_of_all_readings():
+    rng = random.Random(3)
+    for _ in range(400):
+        clause, place = [], -1
+        for _ in range(rng.randrange(8)):
+            place += rng.choice((1, 1, 2, 3, 6, 7, 8))
+            symbol = rng.choice((X.INSULT, X.INSULT, X.TARGET, X.NEGATION, X.REPORT, X.MODAL, X.VERB))
+            clause.append((place, symbol, rng.choice((0.1, 2.0, 5.0)) if symbol == X.INSULT else X.THREAT if symbol == X.VERB else 0.0))
+        assert X.clause_weight(clause) == pytest.approx(plain_weight(clause))
+    # a target that two insults could use goes to the heavier one
+    assert X.clause_weight([(0, X.TARGET, 0.0), (1, X.INSULT, 1.0), (2, X.INSULT, 4.0)]) == 1 + 4 * X.FACTORS["target"]
+
+
+def test_a_null_id_is_held_out(spark):
+    got = X.score_documents(docs(spark, [(None, "idiot"), (None, None)]), ({"idiot": 6.0}, [-3.0, 1.0, 1.0])).collect()
+    assert [r.held_out for r in got] == [True, True] and [r.predicted for r in got] == [1, 0]
+
+
 def test_held_out_accuracy(spark):
     """On rows that the model hasn't seen."""
     got = {r.doc_id: r for r in queries.op7_toxicity(spark, SF).where("held_out").collect()}

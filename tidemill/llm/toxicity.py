@@ -1,18 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small machines: a character trie reads a token and emits its symbol - insult, threat, target, negation, report or
-plain - with a weight; a clause machine reads symbols and keeps whether a target, a negation or a report came before.
-Their composition is searched by shortest path in the tropical semiring (the cost is the negated weight), where each
-insult may be read as such or as plain. A clause's score is its best path's weight: targets raise it, negation and
-reported speech lower it. A text's score is a logistic function of its best clause and of the sum of all.
-
-What is learned, from a sample of at most TRAIN_DOCS labelled rows with texts of at most TRAIN_CHARS characters: the
-insults, as words or beginnings of words with their log odds, and the logistic function. Copies in the sample count
-once, so that the words of a much-copied text don't pass for insults. Only the text is an input.
-
-Null text is empty text, which has the score of no clauses. Rows that repeat a doc_id each get their score; labels
-that contradict each other train as toxic. Nulls in labels don't train. An empty table of labels gives a score of
-NO_MODEL for all. Extra columns are left out.
+A lexicon reads a token and gives its symbol - insult, target, negation, report, modal, verb or plain - and its weight.
+Five transducers, each of states and arcs, read the symbols of a clause:
+
+    insult    an insult is read as a hit or as plain
+    threat    a verb within reach of a modal is read as a hit, which uses the modal up, or as plain
+    target    a hit within reach of a target may use it up and weighs more, or leaves it
+    negation  a hit within reach of a negation uses it up and weighs less
+    report    a hit within reach of a report weighs less
+
+What one writes the next reads: they are composed, once, into one machine, whose arcs have the product of the factors by
+which they weigh a hit. Each clause is searched by shortest path in the tropical semiring, where an arc costs its factor
+times the token's weight, negated. What is used up is missed later, so the best reading of a clause is a choice among
+paths. A clause's score is its best path's weight. A text's score is a logistic function of its best clause and of the sum of all.
+
+What is learned, from a sample of at most TRAIN_DOCS labelled rows: the insults, as words or beginnings of words with
+their log odds, and the logistic function. Of the sample the driver gets each text's distinct words, and then its best clause and sum.
+Copies in the sample count once, so that the words of a much-copied text don't pass for insults. Only the text is an input.
+
+Null text is empty text, which has the score of no clauses; a null doc_id has an empty text form, whose fold is held out.
+Rows that repeat a doc_id each get their score; labels that contradict each other train as toxic. Nulls in labels don't
+train. An empty table of labels gives a score of NO_MODEL for all. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,15 +31,18 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from . import textscan
 
-TRAIN_DOCS, TRAIN_CHARS = 4000, 100_000
+TRAIN_DOCS = 4000
 #: An insult begins words by so many letters, and its texts are toxic by so many nats more than chance explains.
 LEAST_PREFIX, MOST_PREFIX, LEAST_GAIN, DECAY = 3, 12, 14.0, 0.6
 NO_MODEL = 0.1
@@ -40,7 +51,7 @@ REACH = 6
 FACTORS = {"target": 1.25, "negation": 0.6, "report": 0.6}
 THREAT = 4.0
 
-PLAIN, INSULT, TARGET, NEGATION, REPORT, MODAL, VERB = range(7)
+PLAIN, INSULT, TARGET, NEGATION, REPORT, MODAL, VERB, HIT = range(8)
 # Closed classes of words in the four languages of the tables.
 WORDS = {
     TARGET: "you your you're they them their he she him her du dich dir ihr euch sie er tu te toi vous votre il elle ils tú usted ustedes él ella ellos vosotros",
@@ -60,7 +71,7 @@ class Lexicon:
         self.root: dict = {}
         for symbol, words in WORDS.items():
             for w in words.split():
-                self._node(w)["#"] = (symbol, 0.0)
+                self._node(w)["#"] = (symbol, THREAT if symbol == VERB else 0.0)
         for prefix, weight in insults.items():
             self._node(prefix)["*"] = weight
         self.cache: dict[str, tuple[int, float]] = {}
@@ -87,42 +98,102 @@ class Lexicon:
         return got
 
 
+class Machine:
+    """A transducer. arcs[state][symbol]: the ways to read a symbol, each (next state, symbol written, factor); state 0 starts and all end."""
+
+    def __init__(self, arcs: list[list[list[tuple[int, int, float]]]]):
+        self.arcs = arcs
+
+    def then(self, other: Machine) -> Machine:
+        """The composition: what this machine writes is what the other reads."""
+        number: dict[tuple[int, int], int] = {(0, 0): 0}
+        arcs = []
+        for a, b in (todo := [(0, 0)]):  # grows as states are reached
+            out: list[list[tuple[int, int, float]]] = []
+            for ways in self.arcs[a]:
+                joint = []
+                for next_a, middle, f in ways:
+                    for next_b, symbol, g in other.arcs[b][middle]:
+                        state = (next_a, next_b)
+                        if state not in number:
+                            number[state] = len(number)
+                            todo.append(state)
+                        joint.append((number[state], symbol, f * g))
+                out.append(joint)
+            arcs.append(out)
+        return Machine(arcs)
+
+
+def _reach(opens: int, ways) -> Machine:
+    """States 0 .. REACH: for how many more tokens what the symbol `opens` said holds. ways(symbol, state, next state): special arcs, if any."""
+    arcs = []
+    for s in range(REACH + 1):
+        down = max(0, s - 1)
+        arcs.append([ways(x, s, down) or [(REACH if x == opens else down, x, 1.0)] for x in range(HIT + 1)])
+    return Machine(arcs)
+
+
+def insult_machine() -> Machine:
+    return Machine([[[(0, HIT, 1.0), (0, PLAIN, 1.0)] if x == INSULT else [(0, x, 1.0)] for x in range(HIT + 1)]])
+
+
+def threat_machine() -> Machine:
+    return _reach(MODAL, lambda x, s, down: x == VERB and ([(0, HIT, 1.0)] if s else []) + [(down, PLAIN, 1.0)])
+
+
+def target_machine() -> Machine:
+    return _reach(TARGET, lambda x, s, down: x == HIT and s and [(0, HIT, FACTORS["target"]), (down, HIT, 1.0)])
+
+
+def negation_machine() -> Machine:
+    return _reach(NEGATION, lambda x, s, down: x == HIT and s and [(0, HIT, FACTORS["negation"])])
+
+
+def report_machine() -> Machine:
+    return _reach(REPORT, lambda x, s, down: x == HIT and s and [(down, HIT, FACTORS["report"])])
+
+
+class Grammar:
+    """The five machines as one, and its shortest paths."""
+
+    def __init__(self):
+        self.machine = reduce(Machine.then, (threat_machine(), target_machine(), negation_machine(), report_machine()), insult_machine())
+        # by state, the states after 0, 1, .. plain tokens; after REACH of them nothing holds any more
+        step = [a[PLAIN][0][0] for a in self.machine.arcs]
+        self.after = [list(accumulate(range(REACH), lambda s, _: step[s], initial=s)) for s in range(len(step))]
+
+    def weight(self, symbols: list[tuple[int, int, float]]) -> float:
+        """(place, symbol, weight) of a clause's tokens that aren't plain -> the weight of the best path."""
+        arcs, after = self.machine.arcs, self.after
+        best, last = {0: 0.0}, -1
+        for place, symbol, weight in symbols:
+            gap = min(place - last - 1, REACH)
+            now: dict[int, float] = {}
+            for state, cost in best.items():
+                for to, wrote, factor in arcs[after[state][gap]][symbol]:
+                    c = cost - factor * weight if wrote == HIT else cost
+                    if c < now.get(to, math.inf):
+                        now[to] = c
+            best, last = now, place
+        return -min(best.values())
+
+
 def clause_weight(symbols: list[tuple[int, int, float]]) -> float:
-    """(place, symbol, weight) of a clause's tokens that aren't plain -> the weight of the best path.
+    return grammar().weight(symbols)
 
-    States are the places of the last target, negation, report and modal; a state's cost is the least that reaches it.
-    """
-    best = {(None, None, None, None): 0.0}
-    for place, symbol, weight in symbols:
-        after: dict[tuple, float] = {}
-        near = lambda at, place=place: at is not None and place - at <= REACH
-        for (target, neg, report, modal), cost in best.items():
-            if symbol == TARGET:
-                ways = [((place, neg, report, modal), cost)]
-            elif symbol == NEGATION:
-                ways = [((target, place, report, modal), cost)]
-            elif symbol == REPORT:
-                ways = [((target, neg, place, modal), cost)]
-            elif symbol == MODAL:
-                ways = [((target, neg, report, place), cost)]
-            else:
-                w = weight if symbol == INSULT else THREAT if near(modal) else 0.0
-                for at, kind in ((target, "target"), (neg, "negation"), (report, "report")):
-                    w *= FACTORS[kind] if near(at) else 1.0
-                ways = [((target, neg, report, modal), cost - w), ((target, neg, report, modal), cost)]
-            for state, c in ways:
-                after[state] = min(c, after.get(state, math.inf))
-        best = after
-    return -min(best.values())
+
+@cache
+def grammar() -> Grammar:
+    return Grammar()
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, int]:
     """(best clause, log of 1 + the sum of clauses, number of clauses that weigh)."""
-    read, cache, found, clause, weigh = lexicon.read, lexicon.cache, [], [], False
+    read, cache, weight_of, found, clause, weigh = lexicon.read, lexicon.cache, grammar().weight, [], [], False
     for place, token in enumerate(_TOKEN.findall(text.lower())):
         if token in _ENDS:
             if weigh:
-                found.append(clause_weight(clause))
+                found.append(weight_of(clause))
             if clause:
                 clause, weigh = [], False
             continue
@@ -131,11 +202,15 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float, int]:
             clause.append((place, symbol, weight))
             weigh = weigh or symbol in (INSULT, VERB)
     if weigh:
-        found.append(clause_weight(clause))
+        found.append(weight_of(clause))
     return (max(found, default=0.0), math.log1p(sum(found)), sum(w > 0 for w in found))
 
 
-def learn_insults(texts: list[tuple[str, int]]) -> dict[str, float]:
+def words_of(text: str) -> set[str]:
+    return {t for t in _TOKEN.findall(text.lower()) if t not in _ENDS}
+
+
+def learn_insults(texts: list[tuple[set[str], int]]) -> dict[str, float]:
     """Beginnings of words that tell toxic texts, chosen one by one by their gain over those chosen before.
 
     Whatever stands beside known insults again and again - the other words of a passage that was copied - gains little.
@@ -143,8 +218,7 @@ def learn_insults(texts: list[tuple[str, int]]) -> dict[str, float]:
     where: tuple[dict[str, list[int]], dict[str, list[int]]] = (defaultdict(list), defaultdict(list))  # other texts, toxic ones
     many = [0, 0]
     seen: dict[int, int] = {}
-    for n, (text, toxic) in enumerate(texts):
-        tokens = {t for t in _TOKEN.findall(text.lower()) if t not in _ENDS}
+    for n, (tokens, toxic) in enumerate(sorted(texts, key=lambda t: (sorted(t[0]), t[1]))):  # no order of rows changes what counts as a copy
         # copies share the smallest hashes of their long words
         least = sorted(zlib.crc32(t.encode()) for t in tokens if len(t) >= 8)[:4]
         shared = Counter(seen[h] for h in least if h in seen)
@@ -219,7 +293,7 @@ def train(labelled: list[tuple[str, int]]) -> tuple[dict[str, float], list[float
     """(insults, coefficients); None if one of the classes is missing."""
     if len({y for _, y in labelled}) < 2:
         return None
-    insults = learn_insults(labelled)
+    insults = learn_insults([(words_of(t), y) for t, y in labelled])
     lexicon = Lexicon(insults)
     x = np.array([features(t, lexicon)[:2] for t, _ in labelled])
     return insults, fit(x, np.array([y for _, y in labelled])).tolist()
@@ -238,23 +312,46 @@ def scorer(model: tuple[dict[str, float], list[float]] | None):
 
 
 def fold(doc_id, parts: int):
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Texts and labels to learn from: rows whose crc32 of the id leaves a remainder by 5; bounded as the module says.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, y): texts and labels to learn from: rows whose crc32 of the id leaves a remainder by 5; bounded as the module says.
 
     Which rows is decided by a hash of their id, so the sample is the same on any cluster.
     """
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
     y = y.where(fold(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).where(F.length("_t") <= TRAIN_CHARS)
-    rows = d.join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_t").limit(TRAIN_DOCS).select("_t", "_y").collect()
-    return [(r._t, int(r._y > 0)) for r in rows]
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = d.join(F.broadcast(y), "doc_id").select(F.xxhash64("doc_id").alias("_h"), "doc_id", F.xxhash64("t").alias("_x"), "t", (F.col("_y") > 0).cast("int").alias("y"))
+    # rows that repeat an id may be more than the bound: their keys tell which stay, and texts are never sorted
+    last = d.select("_h", "doc_id", "_x").orderBy("_h", "doc_id", "_x").limit(TRAIN_DOCS).agg(F.max(F.struct("_h", "doc_id", "_x")).alias("m"))
+    return d.join(F.broadcast(last), F.struct("_h", "doc_id", "_x") <= F.col("m")).select("t", "y")
 
 
 def model_for(docs: DataFrame, labels: DataFrame):
-    return train(sample(docs, labels))
+    """train, with the texts left where they are: they hand over their words, and then what the grammar finds in them."""
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/sample"
+    sample(docs, labels).write.parquet(path)
+    rows = spark.read.schema("t string, y int").parquet(path)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(sorted(words_of(t))) for t in b.column(0).to_pylist()], pa.string()), b.column(1)], ["w", "y"])
+
+    got = sorted(tuple(r) for r in rows.mapInArrow(words, "w string, y int").collect())  # in an order that no cluster changes
+    if len({y for _, y in got}) < 2:
+        return None
+    insults = learn_insults([(set(w.split("\n")) - {""}, y) for w, y in got])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(insults)
+        for b in batches:
+            f = [features(t, lexicon) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in f], pa.float64()) for k in (0, 1)] + [b.column(1)], ["top", "total", "y"])
+
+    x = np.array(sorted(tuple(r) for r in rows.mapInArrow(found, "top double, total double, y int").collect()))
+    return insults, fit(x[:, :2], x[:, 2]).tolist()
 
 
 def score_documents(docs: DataFrame, model) -> DataFrame:
