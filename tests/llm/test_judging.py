@@ -77,6 +77,34 @@ def test_found_items(spark):
     assert D.judge(docs(spark, []).limit(0), benchmark(spark)).count() == 0
 
 
+def test_items_without_a_window(spark):
+    """Short ones, and those dense in numbers, units and names, are found by their exact tokens."""
+    items = spark.createDataFrame([(1, "Too short!"), (2, "Compute 3 + 4 * 5 - 6 km"), (3, "1 2 3 4 5 6 7 8 9 10"), (4, "?!"), (5, "one"), (6, "alpha beta gamma delta")], "item_id bigint, text string")
+    rows = [(1, "it was TOO short, they said"), (2, "too long and short"), (3, "well: compute 3 4 5 6 km now"), (4, "compute 3 4 5 7 km now"), (5, "0 1 2 3 4 5 6 7 8 9 10 11"), (6, "5 6 7 8 9 11 12"), (7, "1 2 3 4"), (8, ""), (9, "short"), (10, "alpha beta gamma delta"), (11, "alpha beta gamma"), (None, "too short"), (None, "fine"), (12, "alpha beta gamma delta"), (12, "fine")]
+    got = {r.doc_id: r["items"] for r in D.judge(docs(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [3], 7: [], 8: [], 9: [], 10: [6], 11: [], 12: [6], None: [1]}
+    kept = [(r.doc_id, r.text) for r in D.drop_contaminated(docs(spark, rows), items).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows if r[0] in (2, 4, 7, 8, 9, 11) or r == (None, "fine")], key=repr)
+
+
+def test_recall_of_items_with_other_parameters(spark):
+    """Every item of a table, its numbers and names changed alike wherever they stand, amid other words."""
+    rng = random.Random(12)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items, rows = [], []
+    for k, r in enumerate(spark.read.parquet(f"{SF}/benchmark.parquet").collect()):
+        names = ["Anna", "Bob", "Cid"]
+        words = [str(rng.randrange(2, 99)) if i % 5 == 3 else rng.choice(names) if i % 11 == 6 else w for i, w in enumerate(r.text.split())]
+        items.append((r.item_id, " ".join(words)))
+        swap = dict(zip(names, rng.sample(["Dora", "Eve", "Finn", "Gil"], 3), strict=True))
+        new = " ".join(swap.setdefault(w, str(100 + len(swap))) if w.isdigit() else swap.get(w, w) for w in words)
+        rows += [(2 * k, f"{noise(30)}\n{new}\n{noise(30)}"), (2 * k + 1, noise(80))]
+    got = {r.doc_id: r for r in D.judge(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    found = sum(i in got[2 * k]["items"] and got[2 * k].changed for k, (i, _) in enumerate(items))
+    print("recall", found, "of", len(items))
+    assert found >= 0.9 * len(items) and not any(got[2 * k + 1]["items"] for k in range(len(items)))
+
+
 def test_slots_must_agree():
     item, good, bad = "Bob gave x to Bob and y to Cid", "Tom gave x to Tom and y to Ann", "Tom gave x to Ann and y to Tom"
     t = {k: read("so " + v + " for the sake of it") for k, v in (("i", item), ("g", good), ("b", bad))}

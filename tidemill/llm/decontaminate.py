@@ -10,8 +10,12 @@ and document must map one to one, type by type: then the passage is the item, ex
 Slots that contradict each other are left out, and what they cover doesn't count. A document that holds COVERED of an
 item's tokens this way is contaminated by it.
 
-An item with fewer tokens than a window can't be told from chance; it is never found. Null texts are empty. Rows that
-repeat a doc_id are judged each and reported together. Null ids of items are dropped; an empty benchmark finds nothing.
+An item without such a window - of fewer tokens, or dense in numbers, units or names - is found by its exact tokens: in
+windows of WINDOW of them, or all in one if they are fewer. An item without any token is never found.
+
+Null texts are empty. Rows that repeat a doc_id are judged each, and reported and dropped together; rows with a null id are
+reported together, and of them only those go that hold an item. Null ids of items are dropped; an
+empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import textscan
 
 WINDOW, LITERALS, COVERED, DRIFT = 5, 3, 0.5, 3
@@ -67,7 +71,12 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def template(g: textscan.Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, literal, place) of the group's template tokens; place is the word's index. Placeholders are the small codes.
+    """(hash, literal, place) of the group's template tokens; place is the word's index. Placeholders are the small codes."""
+    return _read(g)[:3]
+
+
+def _read(g: textscan.Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """template, and the hashes of all tokens as they are.
 
     A token is a number if its first counted byte is a digit or it's a number word; a name if, within a sentence, it has
     a capital first and a small letter later; a unit if it's listed.
@@ -100,10 +109,10 @@ def template(g: textscan.Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = _DIGIT[g.data[first]] | _among(h, _NUMBERS)
     unit = ~number & _among(h, _UNITS)
     name = ~number & ~unit & capital & ~starts[place] & (small[e] > small[s])
-    h = np.maximum(h, np.uint64(16))
+    h = exact = np.maximum(h, np.uint64(16))
     for what, code in ((number, _CODE[NUM]), (unit, _CODE[UNIT]), (name, _CODE[NAME])):
         h = np.where(what, code, h)
-    return h, h > np.uint64(3), place
+    return h, h > np.uint64(3), place, exact
 
 
 def surfaces(g: textscan.Group, words: np.ndarray) -> list[str]:
@@ -126,33 +135,59 @@ def within(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def windows(g: textscan.Group, known: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, int]]:
-    """(text, place in its template, hash, template hashes, words, length of the template) of each window with enough literals.
+Known = tuple[np.ndarray, np.ndarray, list[int]]
 
-    known: bitmaps of the tokens and of the windows that the benchmark holds; windows that it can't hold are left out.
+
+def _hashes(h: np.ndarray, w: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Of the windows h[i:i + size], i in w."""
+    with np.errstate(over="ignore"):
+        acc = np.full(len(w), kind, np.uint64)
+        for k in range(size):
+            acc = textscan.mix(acc * _P + h[w + k])
+    return acc
+
+
+def windows(g: textscan.Group, known: Known | None = None) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, int, int]]:
+    """(text, place in its template, hash, token hashes, words, length of the template, kind) of each window that counts; kind is 0 or an exact one's size.
+
+    Those are windows of the template with enough literals; of texts that have none, windows of exact tokens. known: bitmaps
+    of the tokens and of the windows that the benchmark holds, and the sizes of its exact windows; then windows that it can't
+    hold are left out, and exact ones are looked for in all texts.
     """
     if not len(g.starts):
         return
-    h, literal, place = template(g)
-    n = len(h) - WINDOW + 1
-    if n <= 0:
-        return
+    h, literal, place, exact = _read(g)
     at = np.searchsorted(place, g.at)  # template tokens of each text
     text = np.repeat(np.arange(g.last - g.first), np.diff(at))
-    ok = literal if known is None else ~literal | within(h, known[0])
-    good = np.concatenate([[0], np.cumsum(ok | ~literal)])
+    n = max(0, len(h) - WINDOW + 1)
     lit = np.concatenate([[0], np.cumsum(literal)])
-    w = np.flatnonzero((text[:n] == text[WINDOW - 1 :]) & (lit[WINDOW:] - lit[:-WINDOW] >= LITERALS) & ((good[WINDOW:] - good[:-WINDOW] == WINDOW) if known is not None else True))
-    with np.errstate(over="ignore"):
-        acc = np.zeros(len(w), np.uint64)
-        for k in range(WINDOW):
-            acc = textscan.mix(acc * _P + h[w + k])
-    if known is not None:
-        hit = within(acc, known[1])
-        w, acc = w[hit], acc[hit]
-    for x, v in zip(w, acc, strict=True):
-        t = text[x]
-        yield g.first + int(t), int(x - at[t]), int(v.view(np.int64)), h[x : x + WINDOW], place[x : x + WINDOW], int(at[t + 1] - at[t])
+    enough = (text[:n] == text[WINDOW - 1 :]) & (lit[WINDOW:] - lit[:-WINDOW] >= LITERALS) if n else np.zeros(0, bool)
+    found = []
+    if known is None:
+        w = np.flatnonzero(enough)
+        found.append((h, 0, w, _hashes(h, w, WINDOW, 0)))
+        bare = np.ones(g.last - g.first, bool)
+        bare[text[w]] = False
+        size = np.minimum(np.diff(at), WINDOW)
+        for k in range(1, WINDOW + 1):
+            w = np.flatnonzero((bare & (size == k))[text])
+            w = w[w + k <= at[text[w] + 1]]
+            found.append((exact, k, w, _hashes(exact, w, k, k)))
+    else:
+        ok = ~literal | within(h, known[0])
+        good = np.concatenate([[0], np.cumsum(ok)])
+        w = np.flatnonzero(enough & (good[WINDOW:] - good[:-WINDOW] == WINDOW)) if n else np.zeros(0, np.int64)
+        found.append((h, 0, w, _hashes(h, w, WINDOW, 0)))
+        for k in known[2]:
+            w = np.arange(len(h))
+            w = w[w + k <= at[text + 1]]
+            found.append((exact, k, w, _hashes(exact, w, k, k)))
+        found = [(t, k, w[hit], acc[hit]) for t, k, w, acc in found for hit in (within(acc, known[1]),)]
+    for tokens, kind, w, acc in found:
+        size = kind or WINDOW
+        for x, v in zip(w.tolist(), acc.view(np.int64).tolist(), strict=True):
+            t = int(text[x])
+            yield g.first + t, int(x - at[t]), v, tokens[x : x + size], place[x : x + size], int(at[t + 1] - at[t]), kind
 
 
 def spans(hits: list[tuple[int, int, list[int], list[str], list[str], int]]) -> tuple[float, str, int, int] | None:
@@ -177,31 +212,29 @@ def spans(hits: list[tuple[int, int, list[int], list[str], list[str], int]]) ->
                 continue  # contradicts what stands before
             there.update(((t, b), a) for t, b, a in pairs)
             back.update(((t, a), b) for t, b, a in pairs)
-            covered.update(range(p, p + WINDOW))
+            covered.update(range(p, p + len(temp)))
             same = same and all(a == b for _, b, a in pairs)
-            places.append(d)
+            places += [d, d + len(temp)]
         share = len(covered) / hits[i][5]
         if covered and (best is None or share > best[0]):
-            best = (share, "exact" if same else "changed", min(places), max(places) + WINDOW)
+            best = (share, "exact" if same else "changed", min(places), max(places))
         i = j
     return best
 
 
-_WINDOW_SCHEMA = "_id bigint, _x bigint, at int, h bigint, template array<bigint>, surface array<string>, n int"
+_WINDOW_SCHEMA = "_id bigint, _x bigint, at int, h bigint, template array<bigint>, surface array<string>, n int, kind int"
 
 
-def _emit(known: tuple[bytes, bytes] | None):
-    """known: the benchmark's bitmaps of tokens and of windows."""
+def _emit(known: tuple[bytes, bytes, list[int]] | None):
+    """(id, hash of the text, text) -> its windows. known: the benchmark's bitmaps of tokens and of windows, and sizes of exact windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if known is None else tuple(np.frombuffer(k, np.uint8) for k in known)
+        bits = None if known is None else (*(np.frombuffer(k, np.uint8) for k in known[:2]), known[2])
         for b in batches:
-            rows, digest = [], {}
-            for g in textscan.groups(b.column(1)):
-                for i, at, h, temp, words, n in windows(g, bits):
-                    if i not in digest:
-                        digest[i] = xxhash.xxh3_64_intdigest((b.column(1)[i].as_py() or "").encode()) - (1 << 63)
-                    rows.append((b.column(0)[i].as_py(), digest[i], at, h, temp.view(np.int64).tolist(), surfaces(g, words), n))
+            rows = []
+            for g in textscan.groups(b.column(2)):
+                for i, at, h, temp, words, n, kind in windows(g, bits):
+                    rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), at, h, temp.view(np.int64).tolist(), surfaces(g, words), n, kind))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
@@ -210,7 +243,7 @@ def _emit(known: tuple[bytes, bytes] | None):
     return run
 
 
-_ARROW = pa.schema([("_id", pa.int64()), ("_x", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("template", pa.list_(pa.int64())), ("surface", pa.list_(pa.string())), ("n", pa.int32())])
+_ARROW = pa.schema([("_id", pa.int64()), ("_x", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("template", pa.list_(pa.int64())), ("surface", pa.list_(pa.string())), ("n", pa.int32()), ("kind", pa.int32())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,18 +251,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
-def template_windows(df: DataFrame, id_: str, known: tuple[bytes, bytes] | None = None) -> DataFrame:
-    return df.select(F.col(id_).cast("bigint").alias("_id"), "text").where("_id is not null").mapInArrow(_emit(known), _WINDOW_SCHEMA)
+def template_windows(df: DataFrame, id_: str, known: tuple[bytes, bytes, list[int]] | None = None) -> DataFrame:
+    return df.select(F.col(id_).cast("bigint").alias("_id"), _x(df).alias("_x"), "text").mapInArrow(_emit(known), _WINDOW_SCHEMA)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
-    """(doc_id, item_id, share, kind, first, last) of each item that a document holds; places count template tokens."""
+def _x(df: DataFrame):
+    return F.xxhash64(F.coalesce(df["text"], F.lit("")))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, covered: float) -> DataFrame:
+    """(doc_id, _x, item_id, share, kind, first, last), for rows of docs by id and their text's hash."""
     textscan.small_batches(docs.sparkSession)
-    items = template_windows(benchmark, "item_id")
+    items = template_windows(benchmark.where("item_id is not null"), "item_id")
     # at most BITMAP_BITS distinct places of each come to the driver, whatever the benchmark's size
     rows = items.select(F.explode("template").alias("h"))
     tokens, places = (d.select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy() for d in (rows, items))
-    w = template_windows(docs, "doc_id", (bitmap_of(tokens), bitmap_of(places)))
+    sizes = [r.kind for r in items.where("kind > 0").select("kind").distinct().collect()]  # of exact windows, WINDOW at most
+    w = template_windows(docs, "doc_id", (bitmap_of(tokens), bitmap_of(places), sizes))
     b = items.select(F.col("_id").alias("item_id"), "h", F.col("_x").alias("_ix"), F.col("at").alias("iat"), F.col("template").alias("itemplate"), F.col("surface").alias("isurface"), F.col("n").alias("in"))
     hits = w.join(b, "h").where(F.col("template") == F.col("itemplate"))
     hits = hits.groupBy("_id", "_x", "item_id", "_ix").agg(F.collect_list(F.struct("at", "iat", "template", "surface", "isurface", "in")).alias("hits"))
@@ -240,17 +278,23 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Dat
             for r in x.to_pylist():
                 got = spans([tuple(h.values()) for h in r["hits"]])
                 if got and got[0] >= covered:
-                    rows.append((r["_id"], r["item_id"], *got))
-            yield pa.RecordBatch.from_arrays([pa.array([q[k] for q in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "share", "kind", "first", "last"])
+                    rows.append((r["_id"], r["_x"], r["item_id"], *got))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([q[k] for q in rows], t) for k, t in enumerate(kinds)], ["doc_id", "_x", "item_id", "share", "kind", "first", "last"])
+
+    return hits.mapInArrow(run, "doc_id bigint, _x bigint, item_id bigint, share double, kind string, first int, last int")
+
 
-    found = hits.mapInArrow(run, "doc_id bigint, item_id bigint, share double, kind string, first int, last int")
+def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
+    """(doc_id, item_id, share, kind, first, last) of each item that a document holds; places count template tokens."""
+    found = _found(docs, benchmark, covered)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "kind", "first", "last")).alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """One row for each doc_id: contaminated, items (ids in order), share (the best), changed (found with other parameters only)."""
     found = find(docs, benchmark, covered)
-    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("struct<item_id:bigint,share:double,kind:string>").alias("f")).where("doc_id is not null")
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("struct<item_id:bigint,share:double,kind:string>").alias("f"))
     every = every.unionByName(found.select("doc_id", F.struct("item_id", "share", "kind").alias("f")))
     # rows that repeat an id add a null each, which a set leaves out
     g = every.groupBy("doc_id").agg(F.sort_array(F.collect_set("f")).alias("f"))
@@ -259,5 +303,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """The rows of docs that hold no item, all their columns as they are."""
-    bad = find(docs, benchmark, covered).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint") == bad["_bad"], "left_anti")
+    bad = _found(docs, benchmark, covered)
+    bad = checkpointed(bad.select(F.coalesce("doc_id", "_x").alias("_key"), F.col("doc_id").isNull().alias("_none")).distinct())
+    key = F.coalesce(docs["doc_id"].cast("bigint"), _x(docs))
+    return docs.join(bad, (key == bad["_key"]) & (docs["doc_id"].isNull() == bad["_none"]), "left_anti")
