@@ -148,7 +148,7 @@ def machine():
 def test_encodes_and_decodes_as_the_library(library, machine):
     rng = random.Random(1)
     letters = "  \n\tabcdeeétnsSTH▁.,日本𝒳ﬁ0123<>x\xa0\x00"
-    texts = ["", " ", "  ", "▁", "<s>", "<0x0A>", "a" * 5000, " " * 700, "𝒳" * 99, "the " * 4000]
+    texts = ["", " ", "  ", "▁", "<s>", "<0x0A>", "a" * 5000, " " * 700, "x" + " " * 1_000_000 + "y", " " * 37 + "the" + " " * 23, "𝒳" * 99, "the " * 4000]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000)]
     for t in texts:
         ids = library.encode(t)

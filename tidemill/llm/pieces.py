@@ -6,7 +6,7 @@ no piece has, which spells its UTF-8 bytes). A text composed with them is a latt
 path in the tropical semiring. For a unigram model an arc costs its negated score. For a BPE model the state is the last
 piece, and an arc costs 0 if its piece may follow that one and infinity if not: two pieces may stand side by side if
 merging their text anew gives just them. That leaves the one path that the merges make, and no merge is ever simulated on
-a text; the pairs are compiled as they are met. Where two paths remain - among equal scores - the merges decide.
+a text; the pairs are compiled as they are met. Only if equal scores leave a text no path at all do merges decide.
 
 No piece goes on past a space into the next word, so lattices are cut there, and each worker remembers the paths of
 the last words it has met, CACHE of them at most.
@@ -18,6 +18,7 @@ Only identity normalisation is compiled; a model with a character map is refused
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 import struct
@@ -113,17 +114,29 @@ class Transducer:
         return (SPACE if self.model.prefix and text else "") + text.replace(" ", SPACE)
 
     def merge(self, text: str) -> list[str]:
-        """Pieces of a text by merges, best score first and leftmost among equals; for the compiler."""
-        parts, scores, arcs = list(text), self.model.scores, self.arcs
-        while True:
-            best, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                k = arcs.get(parts[i] + parts[i + 1])
-                if k is not None and scores[k] > best:
-                    best, at = scores[k], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Pieces of a text by merges, best score first and leftmost among equals; for the compiler. Linear but for a heap's logarithm."""
+        parts, scores, arcs, n = list(text), self.model.scores, self.arcs, len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(i: int) -> tuple[float, int, str] | None:
+            j = after[i]
+            k = arcs.get(parts[i] + parts[j]) if j < n else None
+            return None if k is None else (-scores[k], i, parts[i] + parts[j])
+
+        heap = [p for i in range(n) if (p := pair(i))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or parts[i] + parts[j] != whole:
+                continue  # one of the two has merged elsewhere
+            parts[i], parts[j], after[i] = whole, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (p := pair(k)):
+                    heapq.heappush(heap, p)
+        return [p for p in parts if p]
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether b may stand after a; a is empty where nothing can merge with b."""
@@ -159,8 +172,6 @@ class Transducer:
         What stands before a place that the search has reached is the one encoding of that part, so a place from which
         the end can't be reached once never can, and every place is left but once.
         """
-        if SPACE * 2 in word:  # runs of spaces are pieces of equal scores
-            return self.split(word)
         arcs, begins, follows, n = self.arcs, self.begins, self.follows, len(word)
         out: list[str] = []
         ways: list[list[str]] = []  # at each step, the arcs not tried yet, the longest last
