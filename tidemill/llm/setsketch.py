@@ -8,11 +8,10 @@ members: sketches of parts merge by the larger register, and registers of like s
 1. Documents with the same set, by 128 bits of digest, are one class, and classes go on; links tell them by 64 bits.
 2. Registers in bands of rows find who may be alike. The rows are chosen so that a pair at the threshold is missed with
    probability MISSED at most.
-3. In a band's bucket all are paired with one of them, first, not all with all. The pair's joint likelihood of its
+3. In a band's bucket all are paired with its most central member, not all with all. The pair's joint likelihood of its
    registers' order estimates the similarity; who lies SIGMAS deviations or more below the threshold is left out.
 4. Full sets, made from the texts again, verify each pair: 100 * intersection >= percent * union, in integers.
-5. Verified links make groups. Members of a bucket that are in different groups are paired again with its most central
-   member. What then is still in one bucket and different groups is compared across groups: in buckets of SMALL members
+5. Verified links make groups. What then is in one bucket and different groups is compared across groups: in buckets of SMALL members
    or fewer each with each, in larger ones - crowds of copies that differ too much - by an exact prefix join, whose work
    doesn't grow with the square of a crowd. So no link between groups goes unseen.
 
@@ -266,9 +265,11 @@ class Search:
         same = self.sketches.where("n > 0").groupBy("c", "d").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min("n").alias("n"), F.min("x").alias("x"), F.min("regs").alias("regs"))
         self.classes = self.kept(same, "classes")
         keys = self.classes.select("c", "regs").mapInArrow(_bands(self.rows, self.bands), "key bigint, c bigint")
-        shared = self.kept(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("hub")).where("members > 1"), "shared")
-        self.buckets = self.kept(keys.join(shared, "key"), "buckets")
-        self.drop("shared")
+        shared = self.kept(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+        buckets = self.kept(keys.join(shared, "key"), "keys")
+        score = self.kept(buckets.groupBy("c").agg(F.sum("members").alias("score")), "scores")
+        self.buckets = self.kept(buckets.join(score, "c"), "buckets")
+        self.drop("shared", "keys", "scores")
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.top}/{name}")
@@ -279,16 +280,9 @@ class Search:
             discard(self.spark, f"{self.top}/{name}")
 
     def stars(self) -> DataFrame:
-        """Pairs (a, b) of each bucket's members with the least of them."""
-        return _pairs(self.buckets.where("c <> hub"), "c", "hub")
-
-    def central(self, comp: DataFrame) -> DataFrame:
-        """Pairs of each bucket's members with its most central one, whose buckets have most members, if of another group."""
-        score = self.buckets.groupBy("c").agg(F.sum("members").alias("score"))
-        m = self.kept(self.mixed(comp).join(score, "c"), "scored")
-        hubs = m.groupBy("key").agg(F.max(F.struct("score", F.col("c").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h")).select("key", "h.hub", "h.hub_comp")
-        d = m.join(self.kept(hubs, "hubs"), "key").where("comp <> hub_comp")
-        return _pairs(d, "c", "hub")
+        """Pairs (a, b) of each bucket's members with its most central one, whose buckets have most members."""
+        hubs = self.buckets.groupBy("key").agg(F.max(F.struct("score", F.col("c").alias("hub"))).alias("h")).select("key", "h.hub")
+        return _pairs(self.buckets.join(checkpointed(hubs), "key").where("c <> hub"), "c", "hub")
 
     def mixed(self, comp: DataFrame) -> DataFrame:
         """(key, c, comp, members) of buckets that hold more than one group."""
@@ -352,17 +346,15 @@ class Search:
 
     def groups(self) -> DataFrame:
         """(c, comp) of classes that are linked with another."""
-        links = self.verified(self.stars(), "stars")
+        tested = self.kept(self.stars(), "stars")
+        links = self.verified(tested, "stars")
         comp = checkpointed(components(links).withColumnRenamed("id", "c"))
-        for name, step in (("central", self.central), ("across", self.across)):
-            pairs = self.kept(step(comp).join(links, ["a", "b"], "left_anti"), f"pairs-{name}")
-            if not pairs.isEmpty():
-                more = self.verified(pairs, name)
-                if not more.isEmpty():
-                    links = links.unionByName(more)
-                    comp = checkpointed(components(links).withColumnRenamed("id", "c"))
-            self.drop(f"pairs-{name}")
-        self.drop("buckets", "scored", "hubs", "mixed", "crowd", "wanted-crowd", "sets-crowd", "held", "prefixes", "early")
+        pairs = self.kept(self.across(comp).join(tested, ["a", "b"], "left_anti"), "across")
+        if not pairs.isEmpty():
+            more = self.verified(pairs, "across")
+            if not more.isEmpty():
+                comp = checkpointed(components(links.unionByName(more)).withColumnRenamed("id", "c"))
+        self.drop("buckets", "stars", "across", "mixed", "crowd", "wanted-crowd", "sets-crowd", "held", "prefixes", "early")
         return comp
 
     def named(self) -> DataFrame:
