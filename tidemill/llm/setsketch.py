@@ -42,8 +42,8 @@ from . import textscan
 WORDS, M, B, MISSED, SIGMAS = 5, 256, 1.2, 1e-6, 6.0
 #: Ids whose texts are wanted are sent to all tasks if they are so many at most, 16 bytes each; else texts meet them in a shuffle.
 SENT = 500_000
-#: Counters by which a crowd's shingles are put in order, rarest first.
-COUNTERS = 1 << 18
+#: Counters by which a crowd's shingles are put in order, rarest first, and about how many of its sets they count.
+COUNTERS, COUNTED = 1 << 18, 1000
 #: Members of a bucket that are compared each with each; what larger ones hold is found by prefixes.
 SMALL = 24
 _rng = np.random.default_rng(7)
@@ -186,7 +186,7 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(counts, percent: int):
     """(c, set, comp) -> (h, c, n, i, comp): the shingles at whose place i a common one may be the first of enough.
 
-    The order, by counter and hash, is the same for all sets. A counter of 1 is a shingle that no other set has.
+    The order, by counter and hash, is the same for all sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _prefixes(counts, percent: int):
                 h = np.frombuffer(b.column(1)[k].as_buffer(), np.uint64)
                 c = many[h & np.uint64(COUNTERS - 1)]
                 order = np.lexsort((h, c))
-                i = np.flatnonzero((c[order] > 1) & (100 * (len(h) - np.arange(len(h))) >= percent * len(h)))
+                i = np.flatnonzero(100 * (len(h) - np.arange(len(h))) >= percent * len(h))
                 out.append((h[order[i]].view(np.int64), np.full(len(i), k), i, np.full(len(i), len(h))))
             h, k, i, n = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(k)), pa.array(n), pa.array(i), b.column(2).take(pa.array(k))], ["h", "c", "n", "i", "comp"])
@@ -301,8 +301,8 @@ class Search:
     def crowded(self, crowd: DataFrame) -> DataFrame:
         """Pairs of a crowd (c, comp) across groups that may be linked, found by prefixes of their sets; exact.
 
-        Shingles are ordered by how many of these sets hold them, rarest first, as counters of hashes tell: any order does,
-        if it's the same for all. Two sets with an overlap of `need` have a first common shingle, at place i of one and j
+        Shingles are ordered by how many of these sets hold them, rarest first, as counters of some of the sets tell: any order
+        gives the same pairs, if it's the same for all; a bad one only costs more. Two sets with an overlap of `need` have a first common shingle, at place i of one and j
         of the other, and hold no more than n - i and m - j from there on. So only places go on from which enough can
         follow. To test a hot shingle's places pair by pair would take the square of a crowd: places are tested against
         the earliest one of each set size first, and only those that pass meet the sets of that size.
@@ -310,7 +310,8 @@ class Search:
         t = self.percent
         crowd = self.kept(crowd, "crowd")
         held = self.kept(self.set_table(crowd, "crowd").join(crowd, "c").select("c", "s", "comp"), "held")
-        sums = held.select("s").mapInArrow(_counters, "p int, n bigint").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+        some = held.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < round(min(1.0, COUNTED / max(1, held.count())) * (1 << 30)))
+        sums = some.select("s").mapInArrow(_counters, "p int, n bigint").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(COUNTERS, np.int64)
         counts[sums.column("p").to_numpy()] = sums.column("n").to_numpy()
         rows = held.mapInArrow(_prefixes(self.spark.sparkContext.broadcast(counts), t), "h bigint, c bigint, n bigint, i bigint, comp bigint")
