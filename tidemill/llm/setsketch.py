@@ -135,7 +135,7 @@ def _bands(rows: int, bands: int):
                 for k in range(rows):
                     key = textscan.mix(key ^ (r[:, :, k] + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D))
             c = np.repeat(b.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(c)], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(c), pa.array(np.repeat(b.column(2).to_numpy(), bands))], ["key", "c", "n"])
 
     return run
 
@@ -264,7 +264,7 @@ class Search:
         # one sketch of each class: equal sets have equal sketches
         same = self.sketches.where("n > 0").groupBy("c", "d").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min("n").alias("n"), F.min("x").alias("x"), F.min("regs").alias("regs"))
         self.classes = self.kept(same, "classes")
-        keys = self.classes.select("c", "regs").mapInArrow(_bands(self.rows, self.bands), "key bigint, c bigint")
+        keys = self.classes.select("c", "regs", "n").mapInArrow(_bands(self.rows, self.bands), "key bigint, c bigint, n bigint")
         shared = self.kept(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
         buckets = self.kept(keys.join(shared, "key"), "keys")
         score = self.kept(buckets.groupBy("c").agg(F.sum("members").alias("score")), "scores")
@@ -281,12 +281,16 @@ class Search:
 
     def stars(self) -> DataFrame:
         """Pairs (a, b) of each bucket's members with its most central one, whose buckets have most members."""
-        hubs = self.buckets.groupBy("key").agg(F.max(F.struct("score", F.col("c").alias("hub"))).alias("h")).select("key", "h.hub")
-        return _pairs(self.buckets.join(checkpointed(hubs), "key").where("c <> hub"), "c", "hub")
+        hubs = self.buckets.groupBy("key").agg(F.max(F.struct("score", F.col("c").alias("hub"), F.col("n").alias("m"))).alias("h")).select("key", "h.hub", "h.m")
+        return _pairs(self.buckets.join(checkpointed(hubs), "key").where((F.col("c") != F.col("hub")) & self.sized("n", "m")), "c", "hub")
+
+    def sized(self, n: str, m: str):
+        """Whether sets of these sizes can be linked."""
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
     def mixed(self, comp: DataFrame) -> DataFrame:
-        """(key, c, comp, members) of buckets that hold more than one group."""
-        m = self.buckets.select("key", "c", "members").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        """(key, c, n, comp, members) of buckets that hold more than one group."""
+        m = self.buckets.select("key", "c", "n", "members").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         mixed = m.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z").select("key")
         return m.join(checkpointed(mixed), "key")
 
@@ -294,8 +298,8 @@ class Search:
         """Pairs of members of one bucket in different groups: all of them in small buckets, and in others all that can be linked."""
         m = self.kept(self.mixed(comp), "mixed")
         few = m.where(F.col("members") <= SMALL)
-        other = few.select("key", F.col("c").alias("b"), F.col("comp").alias("_other"))
-        small = few.withColumnRenamed("c", "a").join(other, "key").where("a < b and comp <> _other").select("a", "b")
+        other = few.select("key", F.col("c").alias("b"), F.col("comp").alias("_other"), F.col("n").alias("m"))
+        small = few.withColumnRenamed("c", "a").join(other, "key").where(F.expr("a < b and comp <> _other") & self.sized("n", "m")).select("a", "b")
         return small.unionByName(self.crowded(m.where(F.col("members") > SMALL).select("c", "comp").distinct())).distinct()
 
     def crowded(self, crowd: DataFrame) -> DataFrame:
@@ -336,7 +340,7 @@ class Search:
         """Those of pairs (a, b) that are linked."""
         r = self.classes.select("c", "n", "regs")
         side = lambda v: r.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("regs").alias(f"r{v}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b")
         likely = self.kept(sized.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_likely(self.percent), "a bigint, b bigint"), f"likely-{name}")
         ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
         s = self.set_table(ends, name)
