@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import textscan
+from .leaving import without
 
 WINDOW, LITERALS, COVERED, DRIFT = 5, 3, 0.5, 3
 BITMAP_BITS = 1 << 23
@@ -306,4 +307,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = CO
     bad = _found(docs, benchmark, covered)
     bad = checkpointed(bad.select(F.coalesce("doc_id", "_x").alias("_key"), F.col("doc_id").isNull().alias("_none")).distinct())
     key = F.coalesce(docs["doc_id"].cast("bigint"), _x(docs))
-    return docs.join(bad, (key == bad["_key"]) & (docs["doc_id"].isNull() == bad["_none"]), "left_anti")
+    return without(docs, bad, key, docs["doc_id"].isNull() == bad["_none"])

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, discard, shared_dir, tidy
 from . import textscan
+from .leaving import without
 
 WORDS, M, B, MISSED, SIGMAS = 5, 256, 1.2, 1e-6, 6.0
 #: Ids whose texts are wanted are sent to all tasks if they are so many at most, 16 bytes each; else texts meet them in a shuffle.
@@ -413,11 +414,11 @@ def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
         rows = _grouped(docs, percent).where("root is not null").groupBy("root", "id", "x").agg(F.count("*").alias("many"))
         rows = kept(rows, "rows")
         first = kept(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("_none"), "id", "x", "many")).alias("f")).select("root", "f.x", "f.many"), "first")
-        others = kept(rows.join(first.where("many = 1"), ["root", "x"], "left_anti").select(F.col("id").alias("_id"), F.col("x").alias("_x")), "others")
+        others = kept(rows.join(first.where("many = 1"), ["root", "x"], "left_anti").select(F.col("id").alias("_id"), F.col("x").alias("_key")), "others")
         again = first.where("many > 1").select(F.col("x").alias("_x"))
         some = not again.isEmpty()
     x = F.xxhash64(docs["doc_id"].cast("bigint"), F.coalesce(docs["text"], F.lit("")))
-    left = docs.join(others, (x == others["_x"]) & docs["doc_id"].cast("bigint").eqNullSafe(others["_id"]), "left_anti")
+    left = without(docs, others, x, docs["doc_id"].cast("bigint").eqNullSafe(others["_id"]))
     if not some:
         return left
     name = max(docs.columns, key=len) + "_"  # no column of docs is called so
