@@ -9,9 +9,11 @@ odds of both steps, which the id before gives them. All parts sum to one, so a s
 What the tables of the id before hold comes from all training texts, whole ones: Spark counts their words, and each
 distinct word, once, gives the pairs of ids inside it; from a word's last id to the next word's first, or to the end, the
 table has how often the one ends words and the other begins them. The driver gets a row for each pair of the model's ids at most.
-The attention's weights learn, in numpy on the driver, by hand-written gradients and Adam, from windows that begin with words
-of all training texts, drawn by a hash of the text, so that every cluster learns the same. Of n up to WINDOWS windows all
-are taken, each once; beyond that their number grows with the fourth root of n.
+The attention's weights learn in numpy, by hand-written gradients and Adam, from all windows of all training texts, each once.
+Windows are dealt to shards by hashes of their texts; each shard's task goes on from the same weights, by ever smaller steps,
+and the mean of what the shards arrive at, by their windows, is the model's. Shards and their order don't depend on the
+cluster. The weights that all start from are the driver's, who learnt them from some windows that begin with words drawn by a
+hash of the text; that is where learning begins, and no window is left out by it.
 
 Scoring. Windows overlap: each begins CONTEXT ids before the ids that it scores, and each id is scored once. Windows of
 many texts go through masked attention together. Queries, keys and values depend on an id alone, so they are tables.
@@ -26,11 +28,12 @@ that repeat an id each get their scores, and each counts. With no training rows
 
 from __future__ import annotations
 
+import copy
 import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -48,8 +51,12 @@ from .pieces import load
 IDS, DIM, CONTEXT, STRIDE = 2047, 24, 8, 16
 STEPS, BATCH, RATE, DISCOUNT = 500, 192, 0.01, 0.75
 WINDOW = CONTEXT + STRIDE
-#: Of so many windows all are learnt from.
+#: Of so many windows as many are drawn for the weights to start from.
 WINDOWS = 96_000
+#: Windows of a shard, about, how many of them a step takes, and its first rate; windows of one text that go to a shard together.
+SHARD, SHARD_BATCH, SHARD_RATE, TOGETHER = 200_000, 768, 0.005, 1024
+#: Rows by which shards' weights come to the driver.
+SUMS = 16
 #: Words before a drawn window's first new one, and from that on: so many mostly have ids enough, and the second numbers always.
 NEAR_WORDS = ((6, 10), (CONTEXT + 1, STRIDE))
 #: Characters of a window's new ids, about.
@@ -143,11 +150,14 @@ class Model:
         self._learn(joint, *slide(x, y, at, self.none)[:2])
 
     @classmethod
-    def of(cls, size: int, count: np.ndarray, pairs, drawn) -> Model:
-        """count: of each id of the vocabulary. pairs(model): the counts of numbers given the number before; drawn(model): windows."""
+    def of(cls, size: int, count: np.ndarray, pairs, drawn, rest) -> Model:
+        """count: of each id of the vocabulary. pairs(model): the counts of numbers given the number before.
+
+        drawn(model): windows to start from; rest(model): the weights after all windows, and how many these were.
+        """
         self = cls.__new__(cls)
         self._number(size, count)
-        self._learn(pairs(self), *drawn(self))
+        self._learn(pairs(self), *drawn(self), rest)
         return self
 
     def _number(self, size: int, count: np.ndarray) -> None:
@@ -163,7 +173,7 @@ class Model:
         self.outside = np.zeros(size, np.float32)
         self.outside[rest] = np.log((count[rest] + 0.5) / (count[rest] + 0.5).sum())
 
-    def _learn(self, joint: np.ndarray, all_x: np.ndarray, all_y: np.ndarray) -> None:
+    def _learn(self, joint: np.ndarray, all_x: np.ndarray, all_y: np.ndarray, rest=None) -> None:
         n = self.n
         self._classes(joint)
         rng = np.random.default_rng(11)
@@ -174,6 +184,8 @@ class Model:
         }
         if len(all_x):
             self._train(all_x, all_y, rng)
+        if rest:
+            self.p, self.learnt = rest(self)
         self._tables()
 
     def _classes(self, joint: np.ndarray) -> None:
@@ -219,64 +231,94 @@ class Model:
         return by, [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
     def _train(self, all_x: np.ndarray, all_y: np.ndarray, rng: np.random.Generator) -> None:
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         # every window once, dealt out at random, and again from the first on if there are few
         order, steps = rng.permutation(len(all_x)), round(STEPS * max(1, len(all_x) / WINDOWS))
-        i, j = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        away, w = np.clip(i - j, 0, WINDOW - 1), self.width
-        for step in range(1, steps + 1):
-            pick = order[np.arange((step - 1) * BATCH, step * BATCH) % len(order)]
-            x, y = all_x[pick].astype(np.int64), all_y[pick]
-            p = self.p
-            e = p["e"][x]
-            new = e[:, CONTEXT:]
-            q, k, v = new @ p["q"], e @ p["k"], e @ p["v"]
-            s = q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(DIM)) + self._bias() - np.float32(1e4) * (x == self.none)[:, None, :]
-            a = np.exp(s - s.max(2, keepdims=True))
-            a /= a.sum(2, keepdims=True)
-            h = a @ v
-            real = y >= 0
-            share = np.float32(1 / max(1, real.sum()))
-            place = self.place[y[real]]
-            by, classes = self._by_class(place)
-            place, before, hr = place[by], np.minimum(x[:, CONTEXT:], self.start)[real][by], h[real][by]
-            z = self.given[before] + hr @ p["o"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(z)), place // w] -= 1
-            z *= share
-            g = {"o": hr.T @ z, "m": np.zeros_like(p["m"])}
-            dr = z @ p["o"].T
-            for c, rows in classes:
-                mine, some = slice(c * w, (c + 1) * w), hr[rows]
-                z = self.member[c, before[rows]] + some @ p["m"][mine].T
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                z[np.arange(len(z)), place[rows] - c * w] -= 1
-                z *= share
-                g["m"][mine] = z.T @ some
-                dr[rows] += z @ p["m"][mine]
-            back = np.empty_like(dr)
-            back[by] = dr
-            dh = np.zeros_like(h)
-            dh[real] = back
-            da = dh @ v.transpose(0, 2, 1)
-            dv = a.transpose(0, 2, 1) @ dh
-            ds = a * (da - (da * a).sum(2, keepdims=True))
-            g["d"] = np.bincount(away.ravel(), weights=(ds.sum(0) * (j <= i)).ravel(), minlength=WINDOW).astype(np.float32)
-            ds /= np.float32(math.sqrt(DIM))
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            flat = lambda u: u.reshape(-1, DIM)
-            g["q"], g["k"], g["v"] = (flat(u).T @ flat(t) for u, t in ((new, dq), (e, dk), (e, dv)))
-            de = dk @ p["k"].T + dv @ p["v"].T
-            de[:, CONTEXT:] += dq @ p["q"].T
-            g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], x.ravel(), flat(de))
-            for name, value in g.items():
+        self._descend(all_x, all_y, (order[np.arange((step - 1) * BATCH, step * BATCH) % len(order)] for step in range(1, steps + 1)), lambda step: RATE)
+
+    def go_on(self, all_x: np.ndarray, all_y: np.ndarray) -> int:
+        """Learn from each of these windows once, by ever smaller steps; how many there were."""
+        order = np.random.default_rng(13).permutation(len(all_x))
+        steps = -(-len(order) // SHARD_BATCH)
+        self._descend(all_x, all_y, np.array_split(order, steps) if steps else [], lambda step: SHARD_RATE * (1 - (step - 1) / steps))
+        return len(order)
+
+    def _descend(self, all_x: np.ndarray, all_y: np.ndarray, picks: Iterable[np.ndarray], rate: Callable[[int], float]) -> None:
+        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        for step, pick in enumerate(picks, 1):
+            for name, value in self._gradient(all_x[pick].astype(np.int64), all_y[pick]).items():
                 m, s2 = moment[name]
                 m += np.float32(0.1) * (value - m)
                 s2 += np.float32(0.01) * (value * value - s2)
-                p[name] -= np.float32(RATE / (1 - 0.9**step)) * m / (np.sqrt(s2 * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+                self.p[name] -= np.float32(rate(step) / (1 - 0.9**step)) * m / (np.sqrt(s2 * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+
+    def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss of these windows' targets. Queries, keys and values depend on an id alone: they and their gradients are tables."""
+        p, w, e = self.p, self.width, self.p["e"]
+        queries, both = e @ (p["q"] / np.float32(math.sqrt(DIM))), e @ np.hstack([p["k"], p["v"]])
+        new = x[:, CONTEXT:]
+        q, kv = queries[new], both[x]
+        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+        s = q @ k.transpose(0, 2, 1)
+        s += self._bias()
+        s -= np.float32(1e4) * (x == self.none)[:, None, :]
+        np.minimum(s, MOST, out=s)
+        np.exp(s, out=s)
+        total = s.sum(2)
+        h = (s @ v).reshape(-1, DIM) / total.reshape(-1, 1)
+        real = np.flatnonzero(y >= 0)
+        share = np.float32(1 / max(1, len(real)))
+        place = self.place[y.reshape(-1)[real]]
+        by, classes = self._by_class(place)
+        real, place = real[by], place[by]
+        before, hr = np.minimum(new.reshape(-1)[real], self.start), h[real]
+
+        def loss(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
+            np.minimum(z, MOST, out=z)
+            np.exp(z, out=z)
+            z *= (share / z.sum(1))[:, None]
+            z[np.arange(len(z)), goal] -= share
+            return z
+
+        z = hr @ p["o"]
+        z += self.given[before]
+        z = loss(z, place // w)
+        g = {"o": hr.T @ z, "m": np.zeros_like(p["m"])}
+        dr = z @ p["o"].T
+        for c, rows in classes:
+            mine, some = p["m"][c * w : (c + 1) * w], hr[rows]
+            z = some @ mine.T
+            z += self.member[c][before[rows]]
+            z = loss(z, place[rows] - c * w)
+            np.matmul(z.T, some, out=g["m"][c * w : (c + 1) * w])
+            dr[rows] += z @ mine
+        dh = np.zeros((total.size, DIM), np.float32)
+        dh[real] = dr / total.reshape(-1, 1)[real]
+        along = (dh * h).sum(1).reshape(total.shape)
+        dh = dh.reshape(q.shape)
+        dkv = np.empty_like(kv)
+        np.matmul(s.transpose(0, 2, 1), dh, out=dkv[:, :, DIM:])
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= along[:, :, None]
+        ds *= s
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+        i, j = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
+        g["d"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), weights=(ds.sum(0) * (j <= i)).ravel(), minlength=WINDOW).astype(np.float32)
+        dq = self._by_id(new, ds @ k) / np.float32(math.sqrt(DIM))
+        dkv = self._by_id(x, dkv)
+        dk, dv = dkv[:, :DIM], dkv[:, DIM:]
+        g["q"], g["k"], g["v"] = e.T @ dq, e.T @ dk, e.T @ dv
+        g["e"] = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+        return g
+
+    def _by_id(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of rows by their id."""
+        x = x.reshape(-1)
+        by = np.argsort(x.astype(np.uint16 if self.none < 1 << 16 else np.int64), kind="stable")
+        x = x[by]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        out = np.zeros((self.n + 4, rows.shape[-1]), np.float32)
+        out[x[first]] = np.add.reduceat(rows.reshape(len(x), -1)[by], first, axis=0)
+        return out
 
     def _tables(self) -> None:
         """Queries, keys and values by id. A last key dimension hides places that hold nothing."""
@@ -484,6 +526,92 @@ def _draw(vocabulary, share: float):
     return run
 
 
+def _every(vocabulary, model, shards: int):
+    """(key, text) -> (shard, key, part, w): all windows of texts, each once, as `unpacked` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, cutter = model.value, Cutter(Subwords(vocabulary.value))
+        for b in batches:
+            for part in _parts(b, 1):
+                slots, at, _ = cutter.of(_bytes(part.column(1)))
+                ids, cuts = expand(cutter.flat, cutter.at, slots)
+                cuts, number, keys = cuts[at], m.number[ids], part.column(0).to_pylist()
+                for lo, hi in m._blocks(cuts):
+                    x, y, text = m.windows(number[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
+                    w = np.hstack([x[:, : CONTEXT + 1], np.where(y < 0, m.none, y)]).astype(np.int16)
+                    first = np.searchsorted(text, np.arange(hi - lo + 1)).tolist()
+                    rows = [(keys[lo + t], k, w[i : min(i + TOGETHER, first[t + 1])].tobytes()) for t in range(hi - lo) for k, i in enumerate(range(first[t], first[t + 1], TOGETHER))]
+                    key, nth, raw = zip(*rows, strict=True)
+                    shard = [zlib.crc32(b"%d %d" % at) % shards for at in zip(key, nth, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(key, pa.int64()), pa.array(nth, pa.int32()), pa.array(raw, pa.binary())], ["shard", "key", "part", "w"])
+
+    return run
+
+
+def unpacked(s: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of windows' numbers: their inputs and one more, the last target."""
+    x, y = s[:, :-1], s[:, CONTEXT + 1 :]
+    return np.where(x == m.end, np.int16(m.none), x), np.where(y == m.none, np.int16(-1), y)
+
+
+def _shards(model):
+    """(shard, w), shard by shard -> (shard, n, p): the weights after a shard's windows, and how many these were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def learnt() -> pa.RecordBatch:
+            m = copy.copy(model.value)
+            m.p = {k: v.copy() for k, v in m.p.items()}
+            n = m.go_on(*unpacked(np.frombuffer(b"".join(held), np.int16).reshape(-1, WINDOW + 1), m))
+            p = np.concatenate([v.ravel() for v in m.p.values()])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([n], pa.int64()), pa.array([p.tobytes()], pa.binary())], ["shard", "n", "p"])
+
+        now, held = None, []
+        for b in batches:
+            for shard, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and shard != now:
+                    yield learnt()
+                    held = []
+                now = shard
+                held.append(w)
+        if held:
+            yield learnt()
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n, p), g by g -> (g, n, p): sums of n and of weights times n, in 64 bits."""
+    now, many, total = None, 0, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([many], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["g", "n", "p"])
+    for b in batches:
+        for g, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if total is not None and g != now:
+                yield out()
+                total = None
+            v = n * np.frombuffer(p, np.float32).astype(np.float64)
+            now, many, total = g, n + (many if total is not None else 0), v if total is None else total + v
+    if total is not None:
+        yield out()
+
+
+def all_windows(train: DataFrame, vocabulary, model: Model, shards: int) -> tuple[dict[str, np.ndarray], int]:
+    """The mean of what the weights become in each shard of all windows of train (key, text), and how many these are.
+
+    A shard is dealt and ordered by hashes of texts, so every cluster learns the same.
+    """
+    m = train.sparkSession.sparkContext.broadcast(model)
+    rows = train.mapInArrow(_every(vocabulary, m, shards), "shard int, key bigint, part int, w binary")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "key", "part").select("shard", "w")
+    each = rows.mapInArrow(_shards(m), "shard int, n bigint, p binary").select((F.col("shard") % SUMS).alias("g"), "shard", "n", "p")
+    sums_ = each.repartition(SUMS, "g").sortWithinPartitions("g", "shard").select("g", "n", "p").mapInArrow(_added, "g int, n bigint, p binary").collect()
+    if not sums_:
+        return model.p, 0
+    many = sum(r.n for r in sums_)
+    flat = sum(np.frombuffer(r.p, np.float64) for r in sorted(sums_, key=lambda r: r.g)) / many
+    cuts = np.cumsum([v.size for v in model.p.values()])[:-1]
+    return {k: f.reshape(v.shape).astype(np.float32) for (k, v), f in zip(model.p.items(), np.split(flat, cuts), strict=True)}, many
+
+
 def share_of_windows(texts: int, chars: int) -> float:
     n = texts + chars / WINDOW_CHARS
     return min(1.0, (WINDOWS / n) ** 0.75) if n else 1.0
@@ -535,8 +663,8 @@ def joint_of(inside: np.ndarray, n: int, ends: int) -> np.ndarray:
     return joint
 
 
-def learn(counts: DataFrame, windows: DataFrame, vocabulary, ends: int) -> Model:
-    """counts (w, c) of all words, windows (w) and the number of texts."""
+def learn(counts: DataFrame, windows: DataFrame, train: DataFrame, shards: int, vocabulary, ends: int) -> Model:
+    """counts (w, c) of all words, windows (w) to start from, all texts (key, text), how many shards to deal them to and their number."""
     spark, size = counts.sparkSession, Subwords(vocabulary.value).size
     count = np.zeros(size, np.int64)
     got = counts.mapInArrow(_ids(vocabulary), "y int, c bigint").groupBy("y").agg(F.sum("c").alias("c")).toArrow()
@@ -553,11 +681,9 @@ def learn(counts: DataFrame, windows: DataFrame, vocabulary, ends: int) -> Model
     def drawn(m: Model) -> tuple[np.ndarray, np.ndarray]:
         number = np.concatenate([m.number, [m.other, m.end, m.start, m.none]]).astype(np.int16)
         raw = np.frombuffer(b"".join(sorted(windows.toArrow().column("w").to_pylist())), _wide(size))  # in an order that no cluster changes
-        s = number[raw].reshape(-1, WINDOW + 1)
-        x, y = s[:, :-1], s[:, CONTEXT + 1 :]
-        return np.where(x == m.end, np.int16(m.none), x), np.where(y == m.none, np.int16(-1), y)
+        return unpacked(number[raw].reshape(-1, WINDOW + 1), m)
 
-    return Model.of(size, count, joint, drawn)
+    return Model.of(size, count, joint, drawn, lambda m: all_windows(train, vocabulary, m, shards))
 
 
 SCORED = "k bigint, doc_id {}, held_out boolean, n bigint, known bigint, base double, score double, rare array<struct<w:binary,c:bigint>>"
@@ -628,8 +754,10 @@ def score_documents(docs: DataFrame, vocabulary: bytes | None = None) -> DataFra
         counts = kept(train.select("text").mapInArrow(_counts, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c")), "counts")
         total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         total, distinct = total + ends, distinct + (ends > 0)
-        windows = train.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(_draw(pieces, share_of_windows(ends, chars)), "w binary")
-        model = spark.sparkContext.broadcast(learn(counts, windows, pieces, ends))
+        keyed = train.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+        windows = keyed.mapInArrow(_draw(pieces, share_of_windows(ends, chars)), "w binary")
+        shards = 1 + int((ends + chars / WINDOW_CHARS) / SHARD)
+        model = spark.sparkContext.broadcast(learn(counts, windows, keyed, shards, pieces, ends))
         common = common_words(counts)
         got = common.select(F.xxhash64("w").alias("h"), F.log10(F.col("c") + 1).alias("l")).orderBy("h").toArrow()
         table = (np.append(got.column("h").to_numpy(), np.iinfo(np.int64).max), np.append(got.column("l").to_numpy(), -1.0))
