@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -69,3 +71,40 @@ def test_gradient_by_differences(monkeypatch):
         way = np.sign(v) * (rng.random(v.shape) < 0.5).astype(np.float32)
         more, less = ({k: u + np.float32(sign * 2e-3) * way if k == name else u for k, u in kept[0].items()} for sign in (1, -1))
         assert (loss(more) - loss(less)) / 4e-3 == pytest.approx(float((v * way).sum()), rel=0.03, abs=1e-4), name
+
+
+def test_a_step_keeps_its_memory(monkeypatch):
+    """A step uses what the last one did, and attention a few windows at a time; else the time goes to fetching memory."""
+    monkeypatch.setattr(lm, "STEPS", 1)
+    kept = []
+    monkeypatch.setattr(lm.Model, "_tables", lambda self, f=lm.Model._tables: kept.append({k: v.copy() for k, v in self.p.items()}) or f(self))
+    m, rng = small(), np.random.default_rng(3)
+    m.p, many = kept[0], 16 * lm.SHARD_BATCH
+    x, y, _ = m.windows(m.number[rng.integers(0, 50, many * lm.STRIDE - 1)], np.array([0, many * lm.STRIDE - 1]))
+    m.go_on(x[: lm.SHARD_BATCH], y[: lm.SHARD_BATCH])
+
+    def most(n):
+        tracemalloc.start()
+        m.go_on(x[:n], y[:n])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert most(many) - most(lm.SHARD_BATCH) < 1 << 19  # no more for many steps than for one
+    assert most(many) < 17 << 20
+    tracemalloc.start()
+    lm.Model._tables(m)
+    m._windows(x[:2048], y[:2048])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9 << 20
+
+
+def test_sums_by_id():
+    """Of ids with no row, a few and many."""
+    m, rng = small(), np.random.default_rng(8)
+    for x in (rng.permutation(np.repeat([0, 1, 5, 9], [1, lm.OFTEN - 1, lm.OFTEN, 300])), np.zeros(90, int), np.arange(3), np.zeros(0, int)):
+        rows = rng.random((len(x), 5), np.float32)
+        want = np.zeros((m.n + 4, 5))
+        np.add.at(want, x, rows)
+        assert m._by_id(x, rows) == pytest.approx(want, rel=1e-5)

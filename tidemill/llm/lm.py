@@ -55,6 +55,10 @@ WINDOW = CONTEXT + STRIDE
 WINDOWS = 96_000
 #: Windows of a shard, about, how many of them a step takes, and its first rate; windows of one text that go to a shard together.
 SHARD, SHARD_BATCH, SHARD_RATE, TOGETHER = 200_000, 768, 0.005, 1024
+#: Windows that go through attention, and targets through the softmax of classes, before the next do.
+FEW, ROWS = 128, 2048
+#: From so many rows on, an id's are summed by a product.
+OFTEN = 24
 #: Rows by which shards' weights come to the driver.
 SUMS = 16
 #: Words before a drawn window's first new one, and from that on: so many mostly have ids enough, and the second numbers always.
@@ -120,17 +124,38 @@ def shifted(ids: np.ndarray, at: np.ndarray, start: int, end: int) -> tuple[np.n
 def slide(x: np.ndarray, y: np.ndarray, at: np.ndarray, none: int, chosen=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, text) of the windows of shifted texts, or of those that chosen(text, place in it) says."""
     sizes = np.diff(at) + 1
-    first = at[:-1] + np.arange(len(sizes))
     many = -(-sizes // STRIDE)
+    ends = np.cumsum(many)
     text = np.repeat(np.arange(len(sizes)), many)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    # texts stand CONTEXT and more places apart, and each begins a stride; so windows are strides and what stands before them
+    gap = -(-CONTEXT // STRIDE)
+    stride = np.arange(len(text)) + gap * (text + 1)
+    y_at = np.repeat((ends - many) * STRIDE - np.cumsum(sizes) + sizes, sizes) + np.arange(len(x))
+    all_x = np.full((len(text) + gap * len(sizes)) * STRIDE, none, x.dtype)
+    all_x[y_at + np.repeat(gap * STRIDE * np.arange(1, len(sizes) + 1), sizes)] = x
+    all_y = np.full(len(text) * STRIDE, -1, y.dtype)
+    all_y[y_at] = y
+    all_y = all_y.reshape(-1, STRIDE)
     if chosen is not None:
-        some = chosen(text, nth)
-        text, nth = text[some], nth[some]
-    place = (nth * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)[None, :]
-    inside = (place >= 0) & (place < sizes[text][:, None])
-    where = np.where(inside, place + first[text][:, None], 0)
-    return np.where(inside, x[where], none), np.where(inside, y[where], -1)[:, CONTEXT:], text
+        some = chosen(text, np.arange(len(text)) - np.repeat(ends - many, many))
+        text, stride, all_y = text[some], stride[some], all_y[some]
+    if not len(text):
+        return np.zeros((0, WINDOW), x.dtype), all_y, text
+    return np.lib.stride_tricks.sliding_window_view(all_x, WINDOW)[stride * STRIDE - CONTEXT], all_y, text
+
+
+class Room:
+    """Arrays that are used again and again, so that memory isn't handed back and asked for in between."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, *shape: int) -> np.ndarray:
+        """Of this shape, with whatever it held before."""
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
 
 
 class Model:
@@ -244,66 +269,88 @@ class Model:
 
     def _descend(self, all_x: np.ndarray, all_y: np.ndarray, picks: Iterable[np.ndarray], rate: Callable[[int], float]) -> None:
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        room = Room()
         for step, pick in enumerate(picks, 1):
-            for name, value in self._gradient(all_x[pick].astype(np.int64), all_y[pick]).items():
+            for name, value in self._gradient(all_x[pick].astype(np.int64), all_y[pick], room).items():
                 m, s2 = moment[name]
                 m += np.float32(0.1) * (value - m)
                 s2 += np.float32(0.01) * (value * value - s2)
                 self.p[name] -= np.float32(rate(step) / (1 - 0.9**step)) * m / (np.sqrt(s2 * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
 
-    def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss of these windows' targets. Queries, keys and values depend on an id alone: they and their gradients are tables."""
-        p, w, e = self.p, self.width, self.p["e"]
+    def _gradient(self, x: np.ndarray, y: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss of these windows' targets. Queries, keys and values depend on an id alone: they and their gradients are tables.
+
+        Attention goes through the windows a few at a time, there and back, so that what it needs stays in the cache.
+        """
+        p, w, e, room = self.p, self.width, self.p["e"], room or Room()
         queries, both = e @ (p["q"] / np.float32(math.sqrt(DIM))), e @ np.hstack([p["k"], p["v"]])
-        new = x[:, CONTEXT:]
-        q, kv = queries[new], both[x]
-        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
-        s = q @ k.transpose(0, 2, 1)
-        s += self._bias()
-        s -= np.float32(1e4) * (x == self.none)[:, None, :]
-        np.minimum(s, MOST, out=s)
-        np.exp(s, out=s)
-        total = s.sum(2)
-        h = (s @ v).reshape(-1, DIM) / total.reshape(-1, 1)
+        new, bias, few = x[:, CONTEXT:], self._bias(), [slice(lo, lo + FEW) for lo in range(0, len(x), FEW)]
+        s, h = room.of("s", len(x), STRIDE, WINDOW), room.of("h", len(x), STRIDE, DIM)
+        for i in few:
+            kv, some = both.take(x[i], axis=0), s[i]
+            np.matmul(queries.take(new[i], axis=0), kv[:, :, :DIM].transpose(0, 2, 1), out=some)
+            some += bias
+            hidden = x[i] == self.none
+            short = np.flatnonzero(hidden.any(1))
+            some[short] -= np.float32(1e4) * hidden[short][:, None, :]
+            np.minimum(some, MOST, out=some)
+            np.exp(some, out=some)
+            np.matmul(some, kv[:, :, DIM:], out=h[i])
+        total = (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(x), STRIDE)
+        h /= total[:, :, None]
         real = np.flatnonzero(y >= 0)
         share = np.float32(1 / max(1, len(real)))
         place = self.place[y.reshape(-1)[real]]
         by, classes = self._by_class(place)
         real, place = real[by], place[by]
-        before, hr = np.minimum(new.reshape(-1)[real], self.start), h[real]
+        before = np.minimum(new.reshape(-1)[real], self.start)
+        hr = h.reshape(-1, DIM).take(real, axis=0, out=room.of("hr", len(real), DIM), mode="clip")
+        dr, ones = room.of("dr", len(real), DIM), np.ones(max(self.classes, w), np.float32)
 
         def loss(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
             np.minimum(z, MOST, out=z)
             np.exp(z, out=z)
-            z *= (share / z.sum(1))[:, None]
+            z *= (share / (z @ ones[: z.shape[1]]))[:, None]
             z[np.arange(len(z)), goal] -= share
             return z
 
-        z = hr @ p["o"]
-        z += self.given[before]
-        z = loss(z, place // w)
-        g = {"o": hr.T @ z, "m": np.zeros_like(p["m"])}
-        dr = z @ p["o"].T
+        g = {"o": np.zeros_like(p["o"].T), "m": np.zeros_like(p["m"])}
+        for lo in range(0, len(real), ROWS):
+            i = slice(lo, lo + ROWS)
+            z = hr[i] @ p["o"]
+            z += self.given.take(before[i], axis=0)
+            z = loss(z, place[i] // w)
+            g["o"] += z.T @ hr[i]
+            np.matmul(z, p["o"].T, out=dr[i])
         for c, rows in classes:
             mine, some = p["m"][c * w : (c + 1) * w], hr[rows]
             z = some @ mine.T
-            z += self.member[c][before[rows]]
+            z += self.member[c].take(before[rows], axis=0)
             z = loss(z, place[rows] - c * w)
             np.matmul(z.T, some, out=g["m"][c * w : (c + 1) * w])
             dr[rows] += z @ mine
-        dh = np.zeros((total.size, DIM), np.float32)
-        dh[real] = dr / total.reshape(-1, 1)[real]
-        along = (dh * h).sum(1).reshape(total.shape)
-        dh = dh.reshape(q.shape)
-        dkv = np.empty_like(kv)
-        np.matmul(s.transpose(0, 2, 1), dh, out=dkv[:, :, DIM:])
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= along[:, :, None]
-        ds *= s
-        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+        g["o"] = g["o"].T
+        along, scale = room.of("along", total.size), 1 / total.reshape(-1)[real]
+        dr *= scale[:, None]
+        along[:] = 0
+        along[real] = np.einsum("ij,ij->i", dr, hr)
+        dh = room.of("dh", len(x), STRIDE, DIM)
+        dh[:] = 0
+        dh.reshape(-1, DIM)[real] = dr
+        along = along.reshape(total.shape)
+        dq, dkv, dbias = room.of("dq", len(x), STRIDE, DIM), room.of("dkv", len(x), WINDOW, 2 * DIM), np.zeros((STRIDE, WINDOW), np.float32)
+        for i in few:
+            kv = both.take(x[i], axis=0)
+            ds = dh[i] @ kv[:, :, DIM:].transpose(0, 2, 1)
+            ds -= along[i][:, :, None]
+            ds *= s[i]
+            dbias += ds.sum(0)
+            np.matmul(ds, kv[:, :, :DIM], out=dq[i])
+            np.matmul(ds.transpose(0, 2, 1), queries.take(new[i], axis=0), out=dkv[i, :, :DIM])
+            np.matmul(s[i].transpose(0, 2, 1), dh[i], out=dkv[i, :, DIM:])
         i, j = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        g["d"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), weights=(ds.sum(0) * (j <= i)).ravel(), minlength=WINDOW).astype(np.float32)
-        dq = self._by_id(new, ds @ k) / np.float32(math.sqrt(DIM))
+        g["d"] = np.bincount(np.clip(i - j, 0, WINDOW - 1).ravel(), weights=(dbias * (j <= i)).ravel(), minlength=WINDOW).astype(np.float32)
+        dq = self._by_id(new, dq) / np.float32(math.sqrt(DIM))
         dkv = self._by_id(x, dkv)
         dk, dv = dkv[:, :DIM], dkv[:, DIM:]
         g["q"], g["k"], g["v"] = e.T @ dq, e.T @ dk, e.T @ dv
@@ -311,13 +358,20 @@ class Model:
         return g
 
     def _by_id(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sums of rows by their id."""
-        x = x.reshape(-1)
+        """Sums of rows by their id. Those of ids with many rows are products, which are faster."""
+        x, rows = x.reshape(-1), rows.reshape(-1, rows.shape[-1])
         by = np.argsort(x.astype(np.uint16 if self.none < 1 << 16 else np.int64), kind="stable")
         x = x[by]
-        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        out = np.zeros((self.n + 4, rows.shape[-1]), np.float32)
-        out[x[first]] = np.add.reduceat(rows.reshape(len(x), -1)[by], first, axis=0)
+        cuts = np.append(np.flatnonzero(np.diff(x, prepend=-1)), len(x))
+        first, sizes = cuts[:-1], np.diff(cuts)
+        out, often = np.zeros((self.n + 4, rows.shape[1]), np.float32), sizes >= OFTEN
+        some = np.flatnonzero(~often)
+        if len(some):
+            at = np.append(0, np.cumsum(sizes[some]))
+            out[x[first[some]]] = np.add.reduceat(rows.take(by[np.repeat(~often, sizes)], axis=0), at[:-1], axis=0)
+        ones = np.ones(sizes.max(initial=0), np.float32)
+        for i, n in zip(first[often].tolist(), sizes[often].tolist(), strict=True):
+            np.matmul(ones[:n], rows.take(by[i : i + n], axis=0), out=out[x[i]])
         return out
 
     def _tables(self) -> None:
@@ -362,21 +416,26 @@ class Model:
 
     def _windows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of each window the sum of its targets' log probabilities."""
-        new = x[:, CONTEXT:]
-        s = self.q[new] @ self.k[x].transpose(0, 2, 1)
-        s += self.bias
-        np.minimum(s, MOST, out=s)  # far above what training reaches; then no row's maximum is needed
-        np.exp(s, out=s)
-        h = s @ self.v[x]
+        new, h = x[:, CONTEXT:], np.empty((len(x), STRIDE, DIM + 1), np.float32)
+        for lo in range(0, len(x), FEW):
+            i = slice(lo, lo + FEW)
+            s = self.q.take(new[i], axis=0) @ self.k.take(x[i], axis=0).transpose(0, 2, 1)
+            s += self.bias
+            np.minimum(s, MOST, out=s)  # far above what training reaches; then no row's maximum is needed
+            np.exp(s, out=s)
+            np.matmul(s, self.v.take(x[i], axis=0), out=h[i])
         real = np.flatnonzero(y >= 0)
         place = self.place[y.reshape(-1)[real]]
         by, classes = self._by_class(place)
         real, place = real[by], place[by]
-        h, before = h.reshape(-1, DIM + 1)[real], np.minimum(new.reshape(-1)[real], self.start)
+        h, before = h.reshape(-1, DIM + 1).take(real, axis=0), np.minimum(new.reshape(-1)[real], self.start)
         h = h[:, :DIM] / h[:, DIM:]  # the last value is 1 everywhere, so its sum is that of the weights
-        lp = self._softmax(h @ self.o, self.given[before], place // self.width)
+        lp, kind = np.empty(len(real), np.float32), place // self.width
+        for lo in range(0, len(real), ROWS):
+            i = slice(lo, lo + ROWS)
+            lp[i] = self._softmax(h[i] @ self.o, self.given.take(before[i], axis=0), kind[i])
         for c, rows in classes:
-            lp[rows] += self._softmax(h[rows] @ self.m[c], self.member[c][before[rows]], place[rows] - c * self.width)
+            lp[rows] += self._softmax(h[rows] @ self.m[c], self.member[c].take(before[rows], axis=0), place[rows] - c * self.width)
         return np.bincount(real // STRIDE, weights=lp, minlength=len(x))
 
     def _softmax(self, z: np.ndarray, more: np.ndarray, goal: np.ndarray) -> np.ndarray:
